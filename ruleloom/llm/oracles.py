@@ -13,4 +13,13 @@ SELECT doc_id,
 FROM (SELECT doc_id, {AZ} AS norm FROM documents)
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6}
+OP9 = """
+SELECT page_id,
+       CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       sha1(payload) AS payload_digest,
+       CASE WHEN strlen(payload) >= 1000 AND page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(payload) >= 1000 AND page_id <> response_id THEN response_id END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id FROM pages)
+"""
+
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6, "op9_warc_index_merge": OP9}
