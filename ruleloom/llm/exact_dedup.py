@@ -83,8 +83,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = name_documents(docs, id_col, text_col, block_chars)
     groups = named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
-    return named.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256"
+    # written, the groups of several rows meet their members in a plain join, whose hot side Spark can split
+    several = written(groups.filter("group_size > 1"), "groups")
+    keep = F.coalesce("keep", F.struct("doc_id", "row_id"))
+    return named.join(several, ["n_blocks", "name"], "left").select(
+        "doc_id", keep["doc_id"].alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("row_id") == keep["row_id"]).alias("kept"), "text_sha256"
     )
 
 
