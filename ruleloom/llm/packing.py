@@ -9,6 +9,7 @@ are counted within salted parts of a length, so that a length that most pieces s
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .shared import written
 CAPACITY = 2048
 LEAST_SALTS = 64
 #: Chunks of text whose ids a worker remembers, and their longest length.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
 #: Characters that Python's and the tokenizer's idea of white space treat differently.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 
@@ -32,7 +33,8 @@ ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 def encoder(vocabulary: str):
     """A function text -> ids as little-endian unsigned 32-bit bytes, exactly those of the tokenizer for the whole text.
 
-    No token of the vocabulary spans white space, so ids are those of the chunks between; recurring chunks are looked up.
+    No token of the vocabulary spans white space, so ids are those of the chunks between. Chunks not met before are first
+    parted into letters and the punctuation at their end, which the tokenizer parts too, and encoded many at a time.
     """
     import numpy as np
     from tokenizers import Tokenizer
@@ -43,20 +45,35 @@ def encoder(vocabulary: str):
     def ids(text: str) -> bytes:
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_each(chunks: list[str]) -> None:
+        found = tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        values = np.asarray(found.ids, "<u4")
+        ends = np.cumsum([len(c) + 1 for c in chunks])
+        cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(values)), ends).tolist()
+        at = 0
+        for chunk, end in zip(chunks, cuts, strict=True):
+            known[chunk] = values[at:end].tobytes()
+            at = end
+
+    def learn(chunks: set[str]) -> None:
+        parts = {}
+        for chunk in chunks:
+            core = chunk.rstrip(string.punctuation)
+            parts[chunk] = (core.lower() if core.isascii() else core, chunk[len(core) :]) if core.isalpha() else (chunk, "")
+        if new := [x for x in {x for pair in parts.values() for x in pair} if x and x not in known]:
+            encode_each(new)
+        for chunk, (core, tail) in parts.items():
+            known[chunk] = known[core] + known[tail] if tail else known[core]
+
     def encode(text: str) -> bytes:
         if ODD.search(text):
             return ids(text)
-        out = []
-        for chunk in text.split():
-            found = known.get(chunk)
-            if found is None:
-                found = ids(chunk)
-                if len(chunk) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[chunk] = found
-            out.append(found)
-        return b"".join(out)
+        if len(known) >= REMEMBERED:
+            known.clear()
+        chunks = text.split()
+        if new := {c for c in chunks if c not in known and len(c) <= LONGEST_REMEMBERED}:
+            learn(new)
+        return b"".join([known.get(c) or ids(c) for c in chunks])
 
     return encode
 
