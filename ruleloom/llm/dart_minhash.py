@@ -83,12 +83,9 @@ def signatures(elements: np.ndarray, sets: np.ndarray, weights: np.ndarray, n_se
         cells, ranks, names = _throw(e, s, w, 0.0 if slab == LOWEST else 2.0 ** (slab - 1), 2.0**slab, slab, seed, k)
         if cells:
             c, r, n = map(np.concatenate, (cells, ranks, names))
-            order = np.lexsort((r, c))
-            c, r, n = c[order], r[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-            c, r, n = c[first], r[first], n[first]
-            better = r < best_rank[c]  # ranks of later slabs are higher, so only empty coordinates take them
-            best_rank[c[better]], best_name[c[better]] = r[better], n[better]
+            np.minimum.at(best_rank, c, r)
+            won = r == best_rank[c]
+            best_name[c[won]] = n[won]
         # a set is done once its ranks are thrown and no coordinate is empty
         empty = np.isinf(best_rank.reshape(n_sets, k)).any(axis=1)
         open_ &= (slab < need) | empty

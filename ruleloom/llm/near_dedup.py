@@ -27,11 +27,11 @@ from .shared import written
 SHINGLE = 5
 SIMILARITY = 0.8
 #: (bands, rows) of the first signature and of those for what large buckets still hold apart. At a similarity of 0.8 a
-#: pair shares no bucket of the first with a probability of 3e-6, of the second with 4e-5, of a later one with less than 2e-3.
-LEVELS = ((42, 6), (180, 13), (400, 20))
+#: pair shares no bucket of one with a probability of 3e-6, 1e-5 and 1e-5.
+LEVELS = ((42, 6), (100, 10), (250, 14))
 FIRST_BANDS = 8
 SMALL_BUCKET = 24
-AT_ONCE = 150_000  # shingles signed together
+AT_ONCE = 150_000  # shingles, and tenths of darts, that are worked on together
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(7).integers(0, 2**63, 16)]
 
 
@@ -69,6 +69,7 @@ def bands_of(texts: list[list[bytes]], n: int, bands: int, rows: int, seed: int)
     """Band hashes of each list of words; none for a text without words."""
     out: list = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def flush() -> None:
         if held:
@@ -83,8 +84,10 @@ def bands_of(texts: list[list[bytes]], n: int, bands: int, rows: int, seed: int)
             out.append(())
             continue
         held.append(_elements(words, n))
-        if sum(len(e) for e, _ in held) >= AT_ONCE:
+        size += len(held[-1][0]) + bands * rows
+        if size >= AT_ONCE:
             flush()
+            size = 0
     flush()
     return out
 
@@ -132,7 +135,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
         def of(node: int, packed: pa.Scalar) -> Counter:
             if node not in known:
                 known[node] = shingles(unpack.decompress(packed.as_py()).split(), shingle)
-                if len(known) > 32:
+                if len(known) > 16:
                     known.popitem(last=False)
             known.move_to_end(node)
             return known[node]
@@ -204,7 +207,8 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
         if large.isEmpty():
             return labels
         if level + 1 < len(LEVELS):
-            members = written(buckets(sketch_again(involved.join(large.select("node").distinct(), "node"), shingle, level + 1)), "members")
+            again = written(sketch_again(involved.join(large.select("node").distinct(), "node"), shingle, level + 1), "again")
+            members = written(buckets(again), "members")
     while not large.isEmpty():  # a large bucket of the longest bands: one leader after another
         pairs, large = star_pairs(large, labels, popularity)
         labels = compare(pairs, labels)
