@@ -239,3 +239,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = all_rows.join(stays, "comp")
     real = [F.when(F.col(c) != lowest, F.col(c)).cast(kind).alias(c) for c in ("doc_id", "class_id")]
     return out.select(*real, "class_size", (F.col("row_id") == F.col("stays")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_dedup keeps, with all of their columns. Repeated rows with one id and one text stay once."""
+    found = written(near_dedup(docs, id_col, text_col), "near-dedup")
+    kept = found.filter("kept").select(F.col("doc_id").alias("__id"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) if not found.filter("doc_id is null").isEmpty() else docs[id_col] == F.col("__id")
+    left = docs.join(kept, same, "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    # an id in several rows: its kept row is the one of its own class, of which there may be several texts; the least stays
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    return left.withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
