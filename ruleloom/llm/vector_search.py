@@ -29,7 +29,7 @@ COPIES = 2  # lists that a vector near a boundary goes to at most
 BOUNDARY = 1.25  # ... if their centres are no farther than this times the nearest
 RECALL = 0.97
 SAMPLE_QUERIES = 300
-DEGREE, BEAM = 24, 64
+DEGREE, BEAM, ROWS_IN_STEP = 24, 64, 1000
 
 
 @dataclass
@@ -45,13 +45,21 @@ class Lists:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))
         return np.concatenate([x, more[:, None]], axis=1)
 
-    def near(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The width nearest centres of each lifted vector, nearest first, and their distances: best-first search over the graph, all rows in step."""
+    def near(self, x: np.ndarray, width: int, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The width nearest centres of each lifted vector, nearest first, and their distances. Centres beyond reach times the nearest need not be among them."""
+        found = [self._near(x[at : at + ROWS_IN_STEP], width, reach) for at in range(0, max(len(x), 1), ROWS_IN_STEP)]
+        most = max(ids.shape[1] for ids, _ in found)
+        ids = np.concatenate([np.pad(i, ((0, 0), (0, most - i.shape[1])), constant_values=-1) for i, _ in found])
+        return ids, np.concatenate([np.pad(d, ((0, 0), (0, most - d.shape[1])), constant_values=np.inf) for _, d in found])
+
+    def _near(self, x: np.ndarray, width: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first search over the graph, all rows in step."""
         n, c = len(x), len(self.centres)
         wanted, width = min(width, c), min(max(width, BEAM), c)
         if n == 0:
             return np.zeros((0, wanted), np.int64), np.zeros((0, wanted))
         squares = (self.centres * self.centres).sum(axis=1)
+        own = (x * x).sum(axis=1)[:, None]
 
         def distance(ids: np.ndarray) -> np.ndarray:
             return squares[ids] - 2 * np.einsum("nd,nkd->nk", x, self.centres[ids])
@@ -65,6 +73,8 @@ class Lists:
             order = np.argsort(dist, axis=1, kind="stable")[:, :width]
             ids, dist, done = (np.take_along_axis(a, order, axis=1) for a in (ids, dist, done))
             open_ = ~done & np.isfinite(dist)
+            if np.isfinite(reach):
+                open_ &= (dist + own <= (1.1 * reach) ** 2 * np.maximum(dist[:, :1] + own, 1e-24)) | (np.arange(dist.shape[1]) < BEAM)
             if not open_.any():
                 break
             step = min(4, ids.shape[1])
@@ -82,7 +92,6 @@ class Lists:
             seen[r, new[r, k]] = True
             dist = np.concatenate([dist, np.where(once, distance(new), np.inf)], axis=1)
             ids, done = np.concatenate([ids, new], axis=1), np.concatenate([done, ~once], axis=1)
-        own = (x * x).sum(axis=1)[:, None]
         return ids[:, :wanted], np.sqrt(np.maximum(dist + own, 0))[:, :wanted]
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
@@ -92,7 +101,7 @@ class Lists:
 
     def visits_of(self, x: np.ndarray) -> np.ndarray:
         """The lists that each query visits; -1 beyond the ratio."""
-        ids, dist = self.near(self.lift(x, True), len(self.centres))
+        ids, dist = self.near(self.lift(x, True), len(self.centres), self.ratio)
         return np.where(dist <= self.ratio * dist[:, :1] + 1e-12, ids, -1)
 
 
@@ -130,16 +139,16 @@ def fit(sample: np.ndarray, n_vectors: int, norm: float) -> Lists:
     lists.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
     # the ratio: over queries from the sample, how far the lists of their true neighbours are from them
     queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)]
-    holds = lists.lists_of(sample)
     ids, dist = lists.near(lists.lift(queries, True), n)
-    place = np.empty_like(ids)
+    place = np.full((len(ids), n), ids.shape[1] - 1)
     np.put_along_axis(place, ids, np.arange(ids.shape[1])[None, :].repeat(len(ids), axis=0), axis=1)
     # a neighbour among the vectors is less rare than one among the sample; the nearest few of the sample stand for them
     top = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, 1 : 1 + max(5, NEAREST * len(sample) // max(n_vectors, 1))]
+    held, back = np.unique(top, return_inverse=True)
+    holds = lists.lists_of(sample[held])[back.reshape(top.shape)]
     needed = []
-    for q, best in enumerate(top):
-        options = holds[best]
-        ranks = np.where(options >= 0, place[q][np.maximum(options, 0)], ids.shape[1])
+    for q, options in enumerate(holds):
+        ranks = np.where(options >= 0, place[q][np.maximum(options, 0)], ids.shape[1] - 1)
         needed.extend((dist[q][ranks.min(axis=1)] / max(dist[q][0], 1e-12)).tolist())
     lists.ratio = float(np.quantile(needed, RECALL)) * (1 + 1e-9) if needed else 1.0
     return lists
