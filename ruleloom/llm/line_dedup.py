@@ -65,7 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = written(suspects.join(firsts, ["a", "b"]).filter(place > F.col("first")).select("row_id", "at"), "later")
     gone = later.groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
-    joined = rows.join(gone, "row_id", "left").withColumn("split", _lines(F.col(f"doc.{text_col}")))
+    # what goes grows with the corpus, so it is never broadcast
+    joined = rows.join(gone.hint("merge"), "row_id", "left").withColumn("split", _lines(F.col(f"doc.{text_col}")))
     # lines and deleted numbers in one sorted array: a line stays unless its number stands right before it
     marks = F.concat(
         F.transform("split", lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("k"), x.alias("l"))),
