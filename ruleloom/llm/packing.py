@@ -24,7 +24,7 @@ from .shared import written
 CAPACITY = 2048
 LEAST_SALTS = 64
 #: Chunks of text whose ids a worker remembers, and their longest length.
-REMEMBERED, LONGEST_REMEMBERED = 800_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 1_200_000, 48
 #: Characters that Python's and the tokenizer's idea of white space treat differently.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 
@@ -71,9 +71,15 @@ def encoder(vocabulary: str):
         if len(known) >= REMEMBERED:
             known.clear()
         chunks = text.split()
-        if new := {c for c in chunks if c not in known and len(c) <= LONGEST_REMEMBERED}:
-            learn(new)
-        return b"".join([known.get(c) or ids(c) for c in chunks])
+        new = set(chunks).difference(known)
+        long = [c for c in new if len(c) > LONGEST_REMEMBERED]
+        if new:
+            learn(new.difference(long))
+            known.update((c, ids(c)) for c in long)
+        out = b"".join(map(known.__getitem__, chunks))
+        for c in long:
+            del known[c]
+        return out
 
     return encode
 
