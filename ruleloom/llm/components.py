@@ -9,12 +9,12 @@ from .shared import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """a, b -> node, comp: the least node of each node's component. A label halves its way to the root in every round, so that rounds grow with the logarithm of the longest path."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
+    """a, b -> node, comp: the least node of each node's component; edges must be cheap to read again. A label halves its way to the root in every round, so that rounds grow with the logarithm of the longest path."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("least"))
-        hooked = written(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("comp")), "hooked")
+        hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
         root = hooked.select(F.col("node").alias("r"), F.col("comp").alias("root"))
         jumped = written(hooked.join(root, hooked["comp"] == root["r"]).select("node", "was", F.least("comp", "root").alias("comp")), "labels")
         labels = jumped.select("node", "comp")

@@ -195,12 +195,14 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
         def compare(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             nonlocal done
             new = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-            done = new if done is None else written(done.unionByName(new), "done")
-            return merged(labels, written(verify(new, involved, shingle, least), "links"))
+            if new.isEmpty():
+                return labels
+            done = new if done is None else done.unionByName(new)
+            return merged(labels, verify(new, involved, shingle, least))
 
         # the first bands join most of a large group; the others then have less to compare
-        for rest in (members.filter(F.col("band") < FIRST_BANDS), members, None):
-            pairs, strays = star_pairs(strays if rest is None else rest, labels, popularity)
+        for part in (members.filter(F.col("band") < FIRST_BANDS), members):
+            pairs, _ = star_pairs(part, labels, popularity)
             labels = compare(pairs, labels)
         pairs, large = small_pairs(members, labels)
         labels = compare(pairs, labels)
