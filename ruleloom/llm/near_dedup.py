@@ -147,7 +147,8 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Da
 
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    # pairs grow with the corpus, so they are never broadcast
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     """node, bands -> node, comp for the nodes that share a bucket with another."""
     members = written(buckets(signed), "members")
     labels = written(members.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
-    involved = written(texts.join(labels.select("node"), "node"), "involved")
+    involved = written(texts.join(labels.select("node").hint("merge"), "node"), "involved")
     for level in range(len(LEVELS)):
         popularity = written(members.groupBy("node").agg(F.sum("n").alias("popular")), "popularity")
         done = None
@@ -230,7 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = written(sketch(rows, shingle).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     firsts = sketches.groupBy("digest").agg(F.min("row_id").alias("row_id"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = written(firsts.select(F.col("row_id").alias("node"), "digest", "least_id", "copies"), "nodes")
-    one_each = sketches.join(nodes.select(F.col("node").alias("row_id")), "row_id", "left_semi").withColumnRenamed("row_id", "node")
+    one_each = sketches.join(nodes.select(F.col("node").alias("row_id")).hint("merge"), "row_id", "left_semi").withColumnRenamed("row_id", "node")
     labels = link(one_each.select("node", "bands"), one_each.select("node", "packed"), shingle, least)
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))

@@ -28,6 +28,7 @@ PER_LIST, CHUNK = 1000, 4000
 COPIES = 2  # lists that a vector near a boundary goes to at most
 BOUNDARY = 1.25  # ... if their centres are no farther than this times the nearest
 RECALL = 0.97
+FIRST_VISITS = 4  # a query's nearest lists, whose results bound what the others need to report
 SAMPLE_QUERIES = 300
 DEGREE, BEAM, ROWS_IN_STEP = 24, 64, 1000
 
@@ -160,7 +161,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _spread(vectors: DataFrame, lists: Lists, query: bool) -> DataFrame:
-    """id, e -> list, id, e: a row for each list that a candidate is in or a query visits."""
+    """id, e -> list, place (0 for the nearest), id, e: a row for each list that a candidate is in or a query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,22 +171,22 @@ def _spread(vectors: DataFrame, lists: Lists, query: bool) -> DataFrame:
                 found = lists.visits_of(x) if query else lists.lists_of(x)
                 row, column = np.nonzero(found >= 0)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(found[row, column], pa.int32()), part["id"].take(take), part["e"].take(take)], names=["list", "id", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[row, column], pa.int32()), pa.array(column, pa.int32()), part["id"].take(take), part["e"].take(take)], names=["list", "place", "id", "e"])
 
-    return vectors.mapInArrow(run, "list int, id long, e array<double>")
+    return vectors.mapInArrow(run, "list int, place int, id long, e array<double>")
 
 
 def _search(visits: pa.Table, held: pa.Table, nearest: int) -> pa.Table:
-    """The nearest of one chunk for each of its queries."""
+    """The nearest of one chunk for each of its queries, as far as their scores reach the query's bound."""
     out: list[tuple[np.ndarray, ...]] = []
     if len(visits) and len(held):
         x, ids = _matrix(held["e"].combine_chunks()), np.asarray(held["id"])
-        queries, names = _matrix(visits["e"].combine_chunks()), np.asarray(visits["id"])
+        queries, names, bounds = _matrix(visits["e"].combine_chunks()), np.asarray(visits["id"]), np.asarray(visits["bound"], np.float64)
         for at in range(0, len(queries), 512):
             q = queries[at : at + 512]
             rough = q @ x.T
             k = min(nearest, len(x))
-            cut = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+            cut = np.maximum(np.partition(rough, len(x) - k, axis=1)[:, len(x) - k], bounds[at : at + 512])
             row, column = np.nonzero(rough >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
             # matrix products may differ in the last bits between equal vectors; these do not
             exact = np.einsum("nd,nd->n", q[row], x[column])
@@ -235,9 +236,18 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     def of_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, nearest + 1)
 
-    found = written(visits.groupBy("list", "chunk").cogroup(held.groupBy("list", "chunk")).applyInArrow(of_chunk, "q long, vec_id long, score double"), "found")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = written(found.dropDuplicates(["q", "vec_id"]).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= nearest + 1).drop("r"), "top")
+    def searched(some: DataFrame, name: str) -> DataFrame:
+        return written(some.groupBy("list", "chunk").cogroup(held.groupBy("list", "chunk")).applyInArrow(of_chunk, "q long, vec_id long, score double"), name)
+
+    def best_of(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        return found.dropDuplicates(["q", "vec_id"]).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= nearest + 1)
+
+    near = written(best_of(searched(visits.filter(F.col("place") < FIRST_VISITS).withColumn("bound", F.lit(float("-inf"))), "near")), "near")
+    bounds = near.filter(F.col("r") == nearest + 1).select(F.col("q").alias("id"), F.col("score").alias("bound"))
+    later = visits.filter(F.col("place") >= FIRST_VISITS).join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    found = near.drop("r").unionByName(searched(later, "far"))
+    top = written(best_of(found).drop("r"), "top")
 
     # every query of one vector has that vector's nearest, less itself
     asked = asking.select(F.col("id").alias("query_id"), "k1", "k2").join(each.withColumnRenamed("id", "q"), ["k1", "k2"]).select("query_id", "q")
