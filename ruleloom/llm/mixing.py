@@ -26,6 +26,7 @@ WIDTH = 256  # hashed words
 SAMPLE_DOCUMENTS = 4000  # bound of the sample that the topic centres are fitted on
 NAMED_VALUES = 256  # sources, and languages, that targets taken from the corpus name
 FLATTENING = 0.7
+KEPT_SHARE = 0.8  # of the corpus's tokens, unless a budget is given
 ROUNDS, PRECISION = 1000, 1e-10
 MARGINALS = ("source", "lang", "topic")
 
@@ -137,20 +138,19 @@ class Mixture:
 
 
 def calibrate(measured: DataFrame, centres: np.ndarray, targets: dict[str, dict[str, float]] | None = None, budget: float | None = None) -> Mixture:
-    """Rakes the cells of a measured table and turns the factors into probabilities: as large as they can be with the targets met exactly, or such that budget tokens are expected, with probabilities that would exceed 1 held there and the others raised."""
+    """Rakes the cells of a measured table and turns the factors into probabilities, such that budget tokens are expected (KEPT_SHARE of all if none is given): proportional to the factors, and 1 where that would exceed it. Cells that the targets want more of than there is are so kept whole, and the others meet the targets among themselves."""
     targets = targets or flattened_targets(measured)
     named = [F.when(F.col(m).isin([*targets[m]]), F.col(m)).otherwise(OTHER).alias(m) for m in MARGINALS]
     rows = measured.select(*named, "n_tokens").groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n")).collect()  # a row for each cell of the targets
     tokens = {tuple(r[m] for m in MARGINALS): float(r["n"]) for r in rows}
     factors = rake(tokens, targets)
-    top = max(factors.values(), default=1.0) or 1.0
-    scale = 1 / top
-    if budget is not None and factors:
-        low, high = 0.0, 1e12 / top
-        for _ in range(200):
-            scale = (low + high) / 2
-            expected = sum(tokens[c] * min(1.0, scale * f) for c, f in factors.items())
-            low, high = (scale, high) if expected < budget else (low, scale)
+    budget = KEPT_SHARE * sum(tokens.values()) if budget is None else budget
+    low, high = 0.0, 1 / min((f for f in factors.values() if f > 0), default=1.0)
+    scale = high
+    for _ in range(200):
+        scale = (low + high) / 2
+        expected = sum(tokens[c] * min(1.0, scale * f) for c, f in factors.items())
+        low, high = (scale, high) if expected < budget else (low, scale)
     # a cell without tokens weighs nothing, so its documents stay
     return Mixture(centres, targets, factors, {c: min(1.0, scale * factors[c]) if c in factors else 1.0 for c in tokens})
 

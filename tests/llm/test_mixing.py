@@ -45,9 +45,10 @@ def test_whole_table(spark):
         target = {v: p / sum(power.values()) for v, p in power.items()}
         weight = {(r.source, r.lang, r.topic): r.weight for r in rows}
         assert shares(tokens, weight, k) == pytest.approx(target, abs=1e-6)
-        expected = {(r.source, r.lang, r.topic): r.probability for r in rows}
-        assert shares(tokens, expected, k) == pytest.approx(target, abs=1e-6)
-    assert 0 < sum(r.sampled for r in rows) < len(rows)
+    assert sum(r.n_tokens * r.probability for r in rows) == pytest.approx(mixing.KEPT_SHARE * total, rel=1e-6)
+    scale = max(r.probability / r.weight for r in rows if r.weight)
+    assert all(r.probability == pytest.approx(min(1, scale * r.weight)) for r in rows if r.weight)
+    assert abs(sum(r.n_tokens for r in rows if r.sampled) / total - mixing.KEPT_SHARE) < 0.05
     again = {r.doc_id: r.sampled for r in op3_mixing(spark, sf).collect()}
     assert again == {r.doc_id: r.sampled for r in rows}
 
