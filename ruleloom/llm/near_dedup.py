@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: pair shares no bucket of one with a probability of 3e-6, 1e-5 and 1e-5.
 LEVELS = ((42, 6), (100, 10), (250, 14))
 FIRST_BANDS = 8
-SMALL_BUCKET = 24
+SMALL_BUCKET = 8
 AT_ONCE = 150_000  # shingles, and tenths of darts, that are worked on together
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(7).integers(0, 2**63, 16)]
 
@@ -201,8 +201,8 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
             done = new if done is None else done.unionByName(new)
             return merged(labels, verify(new, involved, shingle, least))
 
-        # the first bands join most of a large group; the others then have less to compare
-        for part in (members.filter(F.col("band") < FIRST_BANDS), members):
+        # the first bands join most of a large group; the others then have less to compare. Later levels hold few such groups
+        for part in (members.filter(F.col("band") < FIRST_BANDS), members) if level == 0 else (members,):
             pairs, _ = star_pairs(part, labels, popularity)
             labels = compare(pairs, labels)
         pairs, large = small_pairs(members, labels)
