@@ -36,7 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from written(), once nothing that is still to run reads it."""
+    remove(df.sparkSession, df.written_to)
 
 
 @contextlib.contextmanager

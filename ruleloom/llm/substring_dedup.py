@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, remove, shuffles_dropped, written
+from .shared import discard, new_path, remove, shuffles_dropped, written
 
 WINDOW = 13
 GRAM = 4
@@ -207,6 +207,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = written(hot.distinct(), "hot")
 
     met = written(originals.select("doc_id", F.explode("fps").alias("fp")).join(hot, "fp"), "met")
+    discard(originals)
     per_doc = met.groupBy("doc_id").agg(F.collect_set("fp").alias("hot"))
     found = suspects(rows.join(per_doc, "doc_id").select("doc_id", "text", "hot"), window, gram)
     suspected = written(found.withColumn("row_id", F.monotonically_increasing_id()), "suspects")
@@ -214,6 +215,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = suspected.select("row_id", "doc_id", F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select("row_id", "doc_id", "w.starts", "w.a", "w.b")
     repeated = written(each.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first"), "repeated")
     gone = written(each.join(repeated, ["a", "b"]).filter(F.col("doc_id") > F.col("first")).select("row_id", "starts"), "gone")
+    discard(repeated)
     per_row = gone.groupBy("row_id").agg(F.array_sort(F.collect_list("starts")).alias("gone"))
     left = written(cut(suspected.select("row_id", "doc_id", "text").join(per_row, "row_id"), window).drop("kept_text"), "left").dropDuplicates(["doc_id", "sha"])
 
