@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secret_scan import ACCESS, ASSIGN, HEX, LEAST, OPAQUE, WIDELY_COPIED_OWNERS
+
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP6 = f"""
@@ -22,4 +24,38 @@ SELECT page_id,
 FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id FROM pages)
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6, "op9_warc_index_merge": OP9}
+
+
+def _matches(order: int, kind: str, pattern: str, group: int) -> str:
+    p = pattern.replace("\\x20", " ").replace("'", "''")
+    return f"SELECT rid, owner, {order} AS ko, '{kind}' AS kind, {LEAST[kind]} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"
+
+
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+k AS ({_matches(0, "assign", ASSIGN, 2)} UNION ALL {_matches(1, "access", ACCESS, 0)} UNION ALL {_matches(2, "hex", HEX, 0)} UNION ALL {_matches(3, "opaque", OPAQUE, 0)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+s AS (SELECT rid, owner, ko, kind, least, m[i] AS mm, v[i] AS vv, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i),
+f AS (SELECT rid, owner, ko, kind, vv, a, a + length(mm) AS b FROM s WHERE length(vv) >= least AND (kind <> 'opaque' OR (regexp_matches(vv, '[0-9]') AND regexp_matches(vv, '[A-Za-z]')))),
+h AS (SELECT vv, count(DISTINCT owner) AS owners, count(*) FILTER (kind <> 'opaque') AS base FROM f GROUP BY vv),
+j AS (SELECT f.*, CASE WHEN owners >= {WIDELY_COPIED_OWNERS} THEN 'example' WHEN owners > 1 THEN 'shared' ELSE 'live' END AS standing, base FROM f JOIN h ON f.vv = h.vv),
+c AS (SELECT j.* FROM j WHERE kind <> 'opaque' OR ((base > 0 OR standing = 'live') AND NOT EXISTS (SELECT 1 FROM f b WHERE b.rid = j.rid AND b.kind <> 'opaque' AND b.a < j.b AND j.a < b.b))),
+o AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ko) FILTER (kind <> 'opaque'), '') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ko) AS spans,
+ count(*) FILTER (standing = 'live') AS n_live, count(*) FILTER (standing = 'shared') AS n_shared, count(*) FILTER (standing = 'example') AS n_example FROM c GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN o USING (rid)
+"""
+
+OP10 = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM n),
+f AS (SELECT k, min(doc_id) AS m FROM k GROUP BY k),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS p FROM k JOIN f USING (k) WHERE m < doc_id),
+a AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+b AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept, count(g.p) AS n_removed FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN b ON w.doc_id = b.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op6_exact_dedup": OP6, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}
