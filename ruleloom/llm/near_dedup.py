@@ -2,8 +2,8 @@
 
 Texts with one sequence of words are one node. Nodes that share a band's hash share a bucket. In a bucket only its most
 popular node is compared with the others, not all with all, and a comparison is spared where components already join the
-two. What a large bucket still holds apart after these rounds is signed again with longer bands, which part it further;
-a small one compares the pairs that are left. Every comparison takes the weighted Jaccard similarity of the whole texts'
+two. What a large bucket still holds apart after these rounds is signed again with longer bands, which part it further,
+and then meets further leaders; a small one compares the pairs that are left. Every comparison takes the weighted Jaccard similarity of the whole texts'
 five-word shingles, counted as often as they occur.
 """
 
@@ -26,9 +26,9 @@ from .shared import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: (bands, rows) of the first signature and of those for what large buckets still hold apart. At a similarity of 0.8 a
-#: pair shares no bucket of one with a probability of 3e-6, 1e-5 and 1e-5.
-LEVELS = ((42, 6), (100, 10), (250, 14))
+#: (bands, rows) of the first signature and of the one for what large buckets still hold apart. At a similarity of 0.8 a
+#: pair shares no bucket of either with a probability of 3e-6 and 1e-5.
+LEVELS = ((42, 6), (100, 10))
 FIRST_BANDS = 8
 SMALL_BUCKET = 8
 AT_ONCE = 150_000  # shingles, and tenths of darts, that are worked on together
@@ -212,9 +212,13 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
         if level + 1 < len(LEVELS):
             again = written(sketch_again(involved.join(large.select("node").distinct(), "node"), shingle, level + 1), "again")
             members = written(buckets(again), "members")
-    while not large.isEmpty():  # a large bucket of the longest bands: one leader after another
+    # What large buckets of the longest bands hold apart meets one leader after another, until a round finds no link. This
+    # may miss a link between two texts neither of which is near any of their buckets' leaders (see the README).
+    while not large.isEmpty():
         pairs, large = star_pairs(large, labels, popularity)
-        labels = compare(pairs, labels)
+        before, labels = labels, compare(pairs, labels)
+        if labels is before:
+            break
     return labels
 
 
