@@ -17,7 +17,7 @@ from ..functions.fuzzy import token_set, with_scores
 from ..functions.text import clean, contains_either, norm
 from ..functions.values import is_placeholder
 from ..lookups import (
-    ACCEPT_FLOOR, KIND_PENALTY, LABEL_FLOOR, PART_FLOOR, PART_LINE, PLACEHOLDER_PENALTY, SECTION_BONUS, SECTION_PENALTY, SEQUENCE_FLOOR, SEQUENCE_SPAN, SEQUENCE_WEIGHTS, SUBSECTION_BONUS, SUBSECTION_PENALTY, VALUE_CAP, VALUE_DISCOUNT,
+    ACCEPT_FLOOR, KIND_PENALTY, LABEL_FLOOR, MONTHS, PART_FLOOR, PART_LINE, PLACEHOLDER_PENALTY, SECTION_BONUS, SECTION_PENALTY, SEQUENCE_FLOOR, SEQUENCE_SPAN, SEQUENCE_WEIGHTS, SUBSECTION_BONUS, SUBSECTION_PENALTY, VALUE_CAP, VALUE_DISCOUNT,
 )
 from ..session import checkpointed
 
@@ -210,3 +210,43 @@ def sequence_match(rules: DataFrame, fields: DataFrame) -> DataFrame:
     best = greedy(pairs, ["doc_id"], "rule_id", "field_ord", [("score", False), ("rule_ord", True), ("order_index", True)])
     joined = r.select("doc_id", "rule_id").join(f.select("doc_id").distinct(), "doc_id", "left_semi").join(best.select("doc_id", "rule_id", "field_ord", F.round("score", 4).alias("score")), ["doc_id", "rule_id"], "left")
     return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("state", F.when(F.col("score") >= SEQUENCE_FLOOR, "MATCHED").otherwise("REVIEW_REQUIRED"))
+
+
+def in_order(pairs: DataFrame, floor: float = ACCEPT_FLOOR) -> DataFrame:
+    """The older way: rule after rule takes its best field that is still free. pairs: doc_id, rule_id, rule_ord, field_ord, score."""
+    good = pairs.filter(F.col("score") >= floor)
+    return greedy(good, ["doc_id"], "rule_id", "field_ord", [("rule_ord", True), ("score", False), ("field_ord", True)])
+
+
+KEY_FLOOR, USED_PENALTY = 78.0, 40.0
+
+
+def key_matches(labels: DataFrame, kv_pairs: DataFrame) -> DataFrame:
+    """Rule after rule takes the raw pair whose key fits its labels best: doc_id, rule_id, kv_ord, score. A pair that was taken before may be taken again, at a discount.
+
+    labels: doc_id, rule_id, rule_ord, labels (texts), party (A, B or null), rule_type. Of keys that recur, the first half
+    counts as party A's. Values that look like what the rule prints gain, placeholders and long keys lose.
+    """
+    occurrence = Window.partitionBy("doc_id", "k")
+    kv = kv_pairs.select("doc_id", "kv_ord", F.upper(clean("key")).alias("k"), clean("value").alias("v")).withColumn("of", F.count("*").over(occurrence)).withColumn("nth", F.row_number().over(occurrence.orderBy("kv_ord")) - 1)
+    each = labels.select("doc_id", "rule_id", "rule_ord", "party", "rule_type", F.explode(F.filter(F.transform("labels", lambda x: F.upper(clean(x))), lambda x: F.length(x) >= 3)).alias("l"))
+    pairs = each.join(kv, "doc_id").filter("k <> ''")
+    scored = with_scores(pairs, "l", "k", "raw", known=F.when(contains_either(F.col("l"), F.col("k")), 100.0))
+    best = scored.groupBy("doc_id", "rule_id", "rule_ord", "party", "rule_type", "kv_ord", "k", "v", "of", "nth").agg(F.max("raw").alias("raw")).filter(F.col("raw") >= KEY_FLOOR)
+    first_half = F.col("nth") < F.col("of") / 2
+    party = F.when(F.col("party").isNull() | (F.col("of") < 2), 0.0).when((F.col("party") == "A") == first_half, 10.0).otherwise(-10.0)
+    dated = F.upper("v").rlike(r"\d{4}|\d{1,2}/\d{1,2}|" + "|".join(MONTHS))
+    plausible = F.when(F.col("rule_type") == "CHECKBOX", F.when(F.contains(F.lower("v"), F.lit("selected")), 15.0).otherwise(-6.0)).when(F.col("rule_type") == "DATE_FORMAT", F.when(dated, 15.0).otherwise(-4.0)).otherwise(0.0)
+    score = F.col("raw") + party + plausible - F.when(is_placeholder("v"), 6.0).otherwise(0.0) - 0.01 * F.length("k")
+    out = best.select("doc_id", "rule_id", "rule_ord", "kv_ord", score.alias("score"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        used, kept = set(), []
+        for _, mine in rows.sort_values(["rule_ord", "kv_ord"], kind="stable").groupby("rule_ord", sort=True):
+            now = [(s - (USED_PENALTY if k in used else 0.0), -k, i) for s, k, i in zip(mine["score"], mine["kv_ord"], mine.index, strict=True)]
+            value, k, i = max(now)
+            used.add(-k)
+            kept.append((i, value))
+        return rows.loc[[i for i, _ in kept]].assign(score=[v for _, v in kept])
+
+    return out.groupBy("doc_id").applyInPandas(run, out.schema).select("doc_id", "rule_id", "kv_ord", "score")

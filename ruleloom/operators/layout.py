@@ -197,3 +197,31 @@ def split_composites(fields: DataFrame) -> DataFrame:
     parts = parts.withColumn("value_parts", F.lit(None).cast(empty["value_parts"])).withColumn("children", F.lit(None).cast(empty["children"])).select(*fields.columns, "__sub")
     order = Window.partitionBy("doc_id").orderBy("page", "bbox.y0", "bbox.x0", "field_ord", "__sub")
     return whole.unionByName(parts).withColumn("__o", F.row_number().over(order) - 1).withColumn("field_ord", F.col("__o")).drop("__o", "__sub")
+
+
+def nearby_labels(items: DataFrame, lines: DataFrame, key: str, most: int = 8, above: float = 0.08) -> DataFrame:
+    """The texts printed at or above each item that reach over it, each once, the nearest first, at most that many: key, texts. items: doc_id, page, key, bbox."""
+    i = items.select(*PAGE, key, F.col("bbox").alias("__b"))
+    l = lines.select(*PAGE, "line_ord", clean("text").alias("t"), F.col("bbox").alias("__l")).filter("t <> ''")  # noqa: E741
+    up = F.col("__b.y0") - F.col("__l.y0")
+    met = i.join(l, PAGE).filter((F.col("__l.x1") >= F.col("__b.x0") - 0.02) & (F.col("__l.x0") <= F.col("__b.x1") + 0.02) & up.between(-0.01, above))
+    once = met.groupBy(*PAGE, key, "t").agg(F.min(F.struct(F.abs(up).alias("d"), "line_ord")).alias("at"))
+    at = Window.partitionBy(*PAGE, key).orderBy("at.d", "at.line_ord")
+    first = once.withColumn("n", F.row_number().over(at)).filter(F.col("n") <= most)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])
+    return first.groupBy(*PAGE, key).agg(texts.alias("texts"))
+
+
+def marks_with_words(marks: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """The marks of each picture as "label:state, ...": a label is the words on the mark's line from the mark to the next one, or "?". marks: keys, mark_ord, state, cx, cy, h; words: keys, text, x0, cy."""
+    tolerance = F.greatest(F.lit(0.02), F.col("h") * 0.9)
+    others = marks.select(*keys, F.col("mark_ord").alias("o"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    after = (F.col("ox") > F.col("cx")) & (F.abs(F.col("oy") - F.col("cy")) <= tolerance) & (F.col("o") != F.col("mark_ord"))
+    bounded = marks.join(others, keys, "left").groupBy(*keys, "mark_ord", "state", "cx", "cy", "h").agg(F.min(F.when(after, F.col("ox"))).alias("edge"))
+    w = words.select(*keys, F.col("text").alias("w"), F.col("x0").alias("wx"), F.col("cy").alias("wy"))
+    on = (F.abs(F.col("wy") - F.col("cy")) <= tolerance) & (F.col("wx") >= F.col("cx")) & (F.col("edge").isNull() | (F.col("wx") < F.col("edge")))
+    label = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("wx", "w")))), lambda x: x["w"]), " ")
+    labelled = bounded.join(w, keys, "left").groupBy(*keys, "mark_ord", "state", "cx", "cy").agg(label.alias("label"))
+    shown = F.concat_ws(":", F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("?")), "state")
+    row = F.array_sort(F.collect_list(F.struct(F.round("cy", 2).alias("y"), "cx", "mark_ord", shown.alias("s"))))
+    return labelled.groupBy(*keys).agg(F.array_join(F.transform(row, lambda x: x["s"]), ", ").alias("text"))

@@ -341,3 +341,50 @@ def test_styles_of_values(spark):
     values = spark.createDataFrame([("d", 1, 0, 5), ("d", 2, 9, 12)], "doc_id string, value_id int, start int, stop int")
     styles = spark.createDataFrame([("d", 0, 0, 3, "Arial", None, "bold", None), ("d", 1, 2, 6, "Times", None, None, None)], "doc_id string, style_ord int, start int, stop int, font_family string, font_style string, font_weight string, color string")
     assert {r.value_id: (r.font_family, r.is_bold, r.is_italic) for r in analysis.style_of_values(values, styles).collect()} == {1: ("Times", True, None), 2: (None, None, None)}
+
+
+def test_labels_nearby_and_marks(spark):
+    items = spark.createDataFrame([("d", 1, 7, box(0.2, 0.3, 0.4, 0.31))], "doc_id string, page int, k int, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    lines = spark.createDataFrame([("d", 1, 0, "FAR", box(0.2, 0.1, 0.3, 0.11)), ("d", 1, 1, "NEAR", box(0.2, 0.28, 0.3, 0.29)), ("d", 1, 2, "NEARER", box(0.2, 0.29, 0.3, 0.3)), ("d", 1, 3, "NEAR", box(0.2, 0.25, 0.3, 0.26)), ("d", 1, 4, "BESIDE", box(0.5, 0.29, 0.6, 0.3))], LINES)
+    assert layout.nearby_labels(items, lines, "k").first().texts == ["NEARER", "NEAR"]
+    assert layout.nearby_labels(items, lines, "k", most=1).first().texts == ["NEARER"]
+    marks = spark.createDataFrame([("i", 0, "selected", 0.1, 0.5, 0.02), ("i", 1, "unselected", 0.5, 0.5, 0.02), ("i", 2, "unselected", 0.1, 0.9, 0.02)], "i string, mark_ord int, state string, cx double, cy double, h double")
+    words = spark.createDataFrame([("i", "Not", 0.2, 0.5), ("i", "Related", 0.3, 0.51), ("i", "Yes", 0.6, 0.5)], "i string, text string, x0 double, cy double")
+    assert layout.marks_with_words(marks, words, ["i"]).first().text == "Not Related:selected, Yes:unselected, ?:unselected"
+
+
+def test_older_matchers(spark):
+    pairs = spark.createDataFrame([("d", "r1", 1, 0, 80.0), ("d", "r2", 2, 0, 100.0), ("d", "r2", 2, 1, 75.0), ("d", "r3", 3, 1, 60.0)], "doc_id string, rule_id string, rule_ord int, field_ord int, score double")
+    assert sorted((r.rule_id, r.field_ord) for r in A.in_order(pairs).collect()) == [("r1", 0), ("r2", 1)]
+    kv_pairs = spark.createDataFrame([kv(0, "NAME", "ANN", 0.0, 0.0, 1.0, 1.0), kv(1, "NAME", "BOB", 0.0, 0.0, 1.0, 1.0), kv(2, "BORN", "MAY 5, 2020", 0.0, 0.0, 1.0, 1.0)], KV_PAIRS)
+    labels = spark.createDataFrame([("d", "a", 1, ["NAME"], "B", None), ("d", "b", 2, ["NAME"], "A", None), ("d", "c", 3, ["BORN"], None, "DATE_FORMAT")], "doc_id string, rule_id string, rule_ord int, labels array<string>, party string, rule_type string")
+    got = {r.rule_id: (r.kv_ord, round(r.score, 2)) for r in A.key_matches(labels, kv_pairs).collect()}
+    assert got == {"a": (1, 109.96), "b": (0, 109.96), "c": (2, 114.96)}
+
+
+def workbook(path):
+    import zipfile
+
+    parts = {
+        "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Item</t></si><si><r><t>Print </t></r><r><t>Rule</t></r></si></sst>',
+        "xl/worksheets/sheet1.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="3"><c r="A3" t="inlineStr"><is><t>FEE</t></is></c><c r="AB3"><v>5</v></c><c r="B3"/></row></sheetData></worksheet>',
+        "xl/worksheets/_rels/sheet1.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="../drawings/drawing1.xml"/></Relationships>',
+        "xl/drawings/drawing1.xml": '<d:wsDr xmlns:d="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><d:oneCellAnchor><d:from><d:col>3</d:col><d:row>2</d:row></d:from><d:pic><a:blip r:embed="p1"/></d:pic></d:oneCellAnchor></d:wsDr>',
+        "xl/drawings/_rels/drawing1.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="p1" Target="../media/image1.png"/></Relationships>',
+        "xl/media/image1.png": "PNG",
+    }
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+
+
+def test_workbooks_are_read_as_cells_and_pictures(spark, tmp_path):
+    from ruleloom.sources import sheets
+
+    workbook(tmp_path / "w.xlsx")
+    assert sorted((r.sheet, r.row0, r.col0, r.text) for r in sheets.cells(spark, str(tmp_path)).collect()) == [("S", 0, 0, "Item"), ("S", 0, 27, "Print Rule"), ("S", 2, 0, "FEE"), ("S", 2, 27, "5")]
+    assert [(r.sheet, r.row0, r.col0, bytes(r.content)) for r in sheets.images(spark, str(tmp_path)).collect()] == [("S", 2, 3, b"PNG")]
+    got = R.parse_rules(sheets.cells(spark, str(tmp_path))).first()
+    assert (got.item, got.instruction, got.row_index) == ("FEE", "5", 3)
