@@ -28,9 +28,9 @@ def blocks_of(text: Column, block_chars: int) -> Column:
     return F.when(F.length(text) <= block_chars, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
 
 
-def _numbered(distinct: DataFrame, keys: list[str], label: str) -> DataFrame:
+def _numbered(distinct: DataFrame, keys: list[str], label: str, near: DataFrame | None = None) -> DataFrame:
     """Gives each row of a table of distinct keys an integer, in sort order within its partition."""
-    return written(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), label)
+    return written(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), label, near)
 
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -67,8 +67,8 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = parts.groupBy("row_id", F.expr("pos div 2").cast("int").alias("at")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
         )
-        pairs = written(pairs, f"pairs-{step}")
-        pair_names = _numbered(pairs.select("left", "right").distinct(), ["left", "right"], f"pair-names-{step}")
+        pairs = written(pairs, f"pairs-{step}", level)
+        pair_names = _numbered(pairs.select("left", "right").distinct(), ["left", "right"], f"pair-names-{step}", pairs)
         parts = pairs.join(pair_names, ["left", "right"]).select("row_id", F.col("at").alias("pos"), "name")
         longest = (longest + 1) // 2
     return single.unionByName(heads.join(parts.drop("pos"), "row_id").select("row_id", "doc_id", "n_blocks", "name", "text_sha256")) if step else single

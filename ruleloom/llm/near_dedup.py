@@ -165,19 +165,19 @@ def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(split, "bucket")
 
 
-def star_pairs(members: DataFrame, labels: DataFrame, popularity: DataFrame) -> tuple[DataFrame, DataFrame]:
+def star_pairs(members: DataFrame, labels: DataFrame, popularity: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each bucket's leader with each member outside its component: the pairs, and those members, from whom the next leader comes."""
-    now = written(apart(members.select("bucket", "node"), labels).join(popularity, "node").select("bucket", "node", "comp", "popular"), "apart")
+    now = written(apart(members.select("bucket", "node"), labels).join(popularity, "node").select("bucket", "node", "comp", "popular"), "apart", near)
     leaders = now.groupBy("bucket").agg(F.max(F.struct("popular", "node", "comp")).alias("lead"))
     # written, so that the members of a hot bucket meet its leader in a plain join, which Spark can split
-    leaders = written(leaders.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lead_comp")), "leaders")
-    others = written(now.join(leaders, "bucket").filter("comp <> lead_comp").select("bucket", "node", "leader"), "others")
+    leaders = written(leaders.select("bucket", F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lead_comp")), "leaders", now)
+    others = written(now.join(leaders, "bucket").filter("comp <> lead_comp").select("bucket", "node", "leader"), "others", now)
     return others.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), others.select("bucket", "node")
 
 
-def small_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def small_pairs(members: DataFrame, labels: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All pairs across components within the small buckets, and the members of the large ones."""
-    now = written(apart(members.select("bucket", "node"), labels), "apart")
+    now = written(apart(members.select("bucket", "node"), labels), "apart", near)
     small = now.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "node", "comp")
     other = small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("other"))
     pairs = small.join(other, "bucket").filter("node < b and comp <> other").select(F.col("node").alias("a"), "b").distinct()
@@ -187,15 +187,15 @@ def small_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
 def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """node, bands -> node, comp for the nodes that share a bucket with another."""
     members = written(buckets(signed), "members")
-    labels = written(members.select("node").distinct().select("node", F.col("node").alias("comp")), "labels")
+    labels = written(members.select("node").distinct().select("node", F.col("node").alias("comp")), "labels", members)
     involved = written(texts.join(labels.select("node").hint("merge"), "node"), "involved")
     for level in range(len(LEVELS)):
-        popularity = written(members.groupBy("node").agg(F.sum("n").alias("popular")), "popularity")
+        popularity = written(members.groupBy("node").agg(F.sum("n").alias("popular")), "popularity", members)
         done = None
 
-        def compare(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        def compare(pairs: DataFrame, labels: DataFrame, members: DataFrame = members) -> DataFrame:
             nonlocal done
-            new = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+            new = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs", members)
             if new.isEmpty():
                 return labels
             done = new if done is None else done.unionByName(new)
@@ -203,9 +203,9 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
 
         # the first bands join most of a large group; the others then have less to compare. Later levels hold few such groups
         for part in (members.filter(F.col("band") < FIRST_BANDS), members) if level == 0 else (members,):
-            pairs, _ = star_pairs(part, labels, popularity)
+            pairs, _ = star_pairs(part, labels, popularity, members)
             labels = compare(pairs, labels)
-        pairs, large = small_pairs(members, labels)
+        pairs, large = small_pairs(members, labels, members)
         labels = compare(pairs, labels)
         if large.isEmpty():
             return labels
@@ -215,7 +215,7 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     # What large buckets of the longest bands hold apart meets one leader after another, until a round finds no link. This
     # may miss a link between two texts neither of which is near any of their buckets' leaders (see the README).
     while not large.isEmpty():
-        pairs, large = star_pairs(large, labels, popularity)
+        pairs, large = star_pairs(large, labels, popularity, members)
         before, labels = labels, compare(pairs, labels)
         if labels is before:
             break
@@ -239,9 +239,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = link(one_each.select("node", "bands"), one_each.select("node", "packed"), shingle, least)
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = named.groupBy("comp").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_digest = written(named.join(classes, "comp").select("digest", "comp", "class_id", "class_size"), "classes")
+    of_digest = written(named.join(classes, "comp").select("digest", "comp", "class_id", "class_size"), "classes", nodes)
     all_rows = written(sketches.select("row_id", "doc_id", "digest").join(of_digest, "digest"), "rows")
-    stays = written(all_rows.filter("doc_id = class_id").groupBy("comp").agg(F.min("row_id").alias("stays")), "stays")
+    stays = written(all_rows.filter("doc_id = class_id").groupBy("comp").agg(F.min("row_id").alias("stays")), "stays", nodes)
     kind = docs.schema[id_col].dataType
     out = all_rows.join(stays, "comp")
     real = [F.when(F.col(c) != lowest, F.col(c)).cast(kind).alias(c) for c in ("doc_id", "class_id")]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BYTES_PER_FILE = 4_000_000
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -30,10 +31,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as a Parquet table in the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation."""
+def bytes_of(df: DataFrame) -> int:
+    """The size of the files of a table from written()."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def written(df: DataFrame, name: str, near: DataFrame | None = None) -> DataFrame:
+    """Writes df once as a Parquet table in the shared folder and reads it back: lineage ends here, and a lost executor costs no recomputation.
+
+    near: a table from written() that df is made from and hardly larger than. The last step then has no more tasks, and so
+    writes no more files, than one for every BYTES_PER_FILE of it: steps of many rounds don't leave thousands of tiny files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if near is not None:
+        df = df.coalesce(1 + bytes_of(near) // BYTES_PER_FILE)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

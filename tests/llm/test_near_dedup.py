@@ -7,6 +7,7 @@ from ruleloom.llm import near_dedup as nd
 from ruleloom.llm.components import components
 from ruleloom.llm.dart_minhash import signatures
 from ruleloom.llm.queries import op7_minhash_near_dedup, table
+from ruleloom.llm.shared import written
 
 
 def brute(rows, least=0.8):
@@ -93,5 +94,5 @@ def test_signatures_estimate_weighted_similarity(top, want):
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
-    got = dict((r.node, r.comp) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict((r.node, r.comp) for r in components(written(spark.createDataFrame(edges, "a long, b long"), "edges")).collect())
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
