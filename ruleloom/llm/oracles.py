@@ -58,4 +58,27 @@ b AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS k
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN b ON w.doc_id = b.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op6_exact_dedup": OP6, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}
+OP2 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d),
+c AS (SELECT rid, doc_id, i, trim(replace(x, chr(13), '')) AS t FROM l WHERE trim(replace(x, chr(13), '')) <> ''),
+n AS (SELECT *, lead(t) OVER w AS t2, lead(i) OVER w AS i2 FROM c WINDOW w AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT rid, i, i2, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, rid, i) AS k FROM n WHERE t2 IS NOT NULL),
+g AS (SELECT rid, i FROM f WHERE k > 1 UNION SELECT rid, i2 FROM f WHERE k > 1),
+o AS (SELECT l.rid, string_agg(x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS gone, count(*) AS n FROM l LEFT JOIN g ON l.rid = g.rid AND l.i = g.i GROUP BY l.rid)
+SELECT doc_id, n AS n_lines, gone AS n_removed, CASE WHEN gone = 0 THEN text ELSE coalesce(kept, '') END AS text FROM d JOIN o USING (rid)
+"""
+
+OP7 = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w),
+c AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g, count(*) AS n FROM i GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN t u ON u.doc_id = x JOIN t v ON v.doc_id = y WHERE m / (u.total + v.total - m) >= 0.8),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k
+"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_dedup": OP2, "op6_exact_dedup": OP6, "op7_minhash_near_dedup": OP7, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}
