@@ -81,4 +81,11 @@ k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x)
 SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k
 """
 
-ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_dedup": OP2, "op6_exact_dedup": OP6, "op7_minhash_near_dedup": OP7, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}
+# brute force; the query is exact too on a table that fills a single list, as that of sf0.01 does
+OP8 = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_dedup": OP2, "op6_exact_dedup": OP6, "op7_minhash_near_dedup": OP7, "op8_vector_search": OP8, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}

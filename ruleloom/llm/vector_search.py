@@ -188,8 +188,10 @@ def _search(visits: pa.Table, held: pa.Table, nearest: int) -> pa.Table:
             k = min(nearest, len(x))
             cut = np.maximum(np.partition(rough, len(x) - k, axis=1)[:, len(x) - k], bounds[at : at + 512])
             row, column = np.nonzero(rough >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
-            # matrix products may differ in the last bits between equal vectors; these do not
-            exact = np.einsum("nd,nd->n", q[row], x[column])
+            # matrix products may differ in the last bits between equal vectors; sums in the order of the components do not
+            exact = np.zeros(len(row))
+            for j in range(x.shape[1]):
+                exact += q[row, j] * x[column, j]
             order = np.lexsort((ids[column], -exact, row))
             row, column, exact = row[order], column[order], exact[order]
             start = np.searchsorted(row, np.arange(len(q)))
