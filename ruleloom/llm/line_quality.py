@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCUMENTS = 4000
 SAMPLE_LINES = 2000
 ITERATIONS, RATE, RIDGE = 250, 0.08, 1e-3
-AT_ONCE = 4_000_000  # bytes of text whose features are taken together
+AT_ONCE = 1_000_000  # bytes of text whose features are taken together
 
 # The kinds of bytes whose shares are features.
 KINDS = ("other", "lower", "upper", "digit", "space", "ending", "comma", "bang", "mark", "pipe", "quote", "bracket", "slash", "lead", "follow")
