@@ -3,7 +3,7 @@
 Texts with one sequence of words are one node. Nodes that share a band's hash share a bucket. In a bucket only its most
 popular node is compared with the others, not all with all, and a comparison is spared where components already join the
 two. What a large bucket still holds apart after these rounds is signed again with longer bands, which part it further,
-and then meets further leaders; a small one compares the pairs that are left. Every comparison takes the weighted Jaccard similarity of the whole texts'
+and then meets further leaders until every pair across components is compared; a small one compares the pairs that are left. Every comparison takes the weighted Jaccard similarity of the whole texts'
 five-word shingles, counted as often as they occur.
 """
 
@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 LEVELS = ((42, 6), (100, 10))
 FIRST_BANDS = 8
 SMALL_BUCKET = 8
+MOST_LEADERS = 128  # of a bucket that one round compares
 AT_ONCE = 150_000  # shingles, and tenths of darts, that are worked on together
 _ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(7).integers(0, 2**63, 16)]
 
@@ -184,6 +185,17 @@ def small_pairs(members: DataFrame, labels: DataFrame, near: DataFrame) -> tuple
     return pairs, now.filter(F.col("size") > SMALL_BUCKET).select("bucket", "node")
 
 
+def leader_pairs(members: DataFrame, labels: DataFrame, popularity: DataFrame, near: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """Each bucket's first leaders with each member outside their components: the pairs, and the members without those leaders. Members of a leader's component stay, since they may be near others that the leader is not near."""
+    now = written(apart(members.select("bucket", "node"), labels).join(popularity, "node").select("bucket", "node", "comp", "popular"), "apart", near)
+    first = Window.partitionBy("bucket").orderBy(F.desc("popular"), F.desc("node"))
+    lead = now.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= leaders)
+    lead = written(lead.select("bucket", F.col("node").alias("leader"), F.col("comp").alias("lead_comp")), "leaders", now)
+    met = now.join(lead, "bucket").filter("comp <> lead_comp")
+    rest = now.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), rest.select("bucket", "node")
+
+
 def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """node, bands -> node, comp for the nodes that share a bucket with another."""
     members = written(buckets(signed), "members")
@@ -212,13 +224,14 @@ def link(signed: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
         if level + 1 < len(LEVELS):
             again = written(sketch_again(involved.join(large.select("node").distinct(), "node"), shingle, level + 1), "again")
             members = written(buckets(again), "members")
-    # What large buckets of the longest bands hold apart meets one leader after another, until a round finds no link. This
-    # may miss a link between two texts neither of which is near any of their buckets' leaders (see the README).
+    # Large buckets of the longest bands meet leaders, twice as many in each round, until none holds a pair across components
+    # that was not compared. Links found on the way spare the pairs within their components.
+    leaders = SMALL_BUCKET
     while not large.isEmpty():
-        pairs, large = star_pairs(large, labels, popularity, members)
-        before, labels = labels, compare(pairs, labels)
-        if labels is before:
-            break
+        pairs, rest = leader_pairs(large, labels, popularity, members, leaders)
+        large = written(rest, "rest", members)
+        labels = compare(pairs, labels)
+        leaders = min(2 * leaders, MOST_LEADERS)
     return labels
 
 

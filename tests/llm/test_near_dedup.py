@@ -68,6 +68,16 @@ def test_a_large_group_of_near_copies(spark, docs, words, monkeypatch):
     assert found(nd.near_dedup(docs(rows))) == brute(rows)
 
 
+def test_links_of_texts_that_share_only_large_buckets(spark, docs, words, monkeypatch):
+    base = words(1, 100)
+    rows = [(2 * k + copy, " ".join([*base, *words(100 + k, 14), f"end{2 * k + copy}"])) for k in range(24) for copy in (0, 1)]
+    wanted = brute(rows)
+    assert len({c for _, c in wanted}) == 24
+    monkeypatch.setattr(nd, "LEVELS", ((4, 1), (4, 1)))
+    monkeypatch.setattr(nd, "MOST_LEADERS", 8)
+    assert found(nd.near_dedup(docs(rows))) == wanted
+
+
 def test_nulls_short_and_long_texts_ties_and_empty_tables(spark, docs, words):
     long = words(3, 20000)
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "one two"), (6, "one  two"), (7, "two one"), (8, " ".join(long)), (9, " ".join([*long[:-1], "x"])), (10, "a " * 400), (11, "a " * 390)]
