@@ -126,6 +126,63 @@ def rake(tokens: dict[tuple[str, ...], float], targets: dict[str, dict[str, floa
     return dict(zip(cells, (mass / start).tolist(), strict=True))
 
 
+def within_capacity(held: np.ndarray, wanted: np.ndarray, budget: float) -> np.ndarray:
+    """What each value gets of the budget: in proportion to wanted, and what it holds where that would exceed it."""
+    got = np.zeros(len(held))
+    full = np.zeros(len(held), bool)
+    while not full.all():
+        rest = np.where(full, 0, wanted)
+        got = np.where(full, held, rest / rest.sum() * (budget - held[full].sum()) if rest.sum() > 0 else 0)
+        over = ~full & (got >= held)
+        if not over.any():
+            break
+        full |= over
+    return np.minimum(got, held)
+
+
+def sampling(tokens: dict[tuple[str, ...], float], targets: dict[str, dict[str, float]], factors: dict[tuple[str, ...], float], budget: float) -> dict[tuple[str, ...], float]:
+    """The probability of each cell, raked under the limit of 1 such that budget tokens are expected.
+
+    Values wanted more than they have are kept whole; all others of their marginal share the rest in proportion to their
+    targets. Where cells leave no such probabilities, the last marginal raked is met and the others are near."""
+    cells = [c for c in factors if factors[c] > 0]
+    held = np.array([tokens[c] for c in cells], float)
+    budget = min(budget, held.sum())
+    if budget <= 0:
+        return dict.fromkeys(factors, 0.0)
+    axes, whole = [], np.zeros(len(cells), bool)
+    for k, marginal in enumerate(MARGINALS):
+        names, at = np.unique([c[k] for c in cells], return_inverse=True)
+        total = np.bincount(at, held, len(names))
+        wanted = np.array([targets[marginal].get(str(v), 0.0) for v in names])
+        # a marginal without any target among its values is raked evenly, as the factors are
+        gets = within_capacity(total, wanted if wanted.sum() > 0 else np.ones(len(names)), budget)
+        axes.append((at, gets))
+        whole |= (gets >= total * (1 - 1e-12))[at]
+    raised = np.array([factors[c] for c in cells])
+    raised = raised * (budget / (held @ raised))
+
+    def probabilities() -> np.ndarray:
+        return np.where(whole, 1.0, np.minimum(1.0, raised))
+
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for at, gets in axes:
+            now = np.bincount(at, held * probabilities(), len(gets))
+            ratio = gets / np.where(now > 0, now, 1)
+            worst = max(worst, float(np.abs(now - gets).max()) / budget)
+            raised = np.clip(raised * ratio[at], 0, 1e100)
+        if worst < PRECISION:
+            break
+    low, high = -60.0, 60.0  # the budget is met in any case: exponents of a common factor
+    for _ in range(200):
+        middle = (low + high) / 2
+        expected = held @ np.where(whole, 1.0, np.minimum(1.0, raised * np.exp(middle)))
+        low, high = (middle, high) if expected < budget else (low, middle)
+    raised *= np.exp((low + high) / 2)
+    return dict.fromkeys(factors, 0.0) | dict(zip(cells, probabilities().tolist(), strict=True))
+
+
 @dataclass(frozen=True)
 class Mixture:
     centres: np.ndarray
@@ -138,21 +195,16 @@ class Mixture:
 
 
 def calibrate(measured: DataFrame, centres: np.ndarray, targets: dict[str, dict[str, float]] | None = None, budget: float | None = None) -> Mixture:
-    """Rakes the cells of a measured table and turns the factors into probabilities, such that budget tokens are expected (KEPT_SHARE of all if none is given): proportional to the factors, and 1 where that would exceed it. Cells that the targets want more of than there is are so kept whole, and the others meet the targets among themselves."""
+    """Rakes the cells of a measured table, and probabilities under the limit of 1, such that budget tokens are expected (KEPT_SHARE of all if none is given). Values that the targets want more of than there is are kept whole, and the others of their marginal meet the targets among themselves."""
     targets = targets or flattened_targets(measured)
     named = [F.when(F.col(m).isin([*targets[m]]), F.col(m)).otherwise(OTHER).alias(m) for m in MARGINALS]
     rows = measured.select(*named, "n_tokens").groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n")).collect()  # a row for each cell of the targets
     tokens = {tuple(r[m] for m in MARGINALS): float(r["n"]) for r in rows}
     factors = rake(tokens, targets)
     budget = KEPT_SHARE * sum(tokens.values()) if budget is None else budget
-    low, high = 0.0, 1 / min((f for f in factors.values() if f > 0), default=1.0)
-    scale = high
-    for _ in range(200):
-        scale = (low + high) / 2
-        expected = sum(tokens[c] * min(1.0, scale * f) for c, f in factors.items())
-        low, high = (scale, high) if expected < budget else (low, scale)
+    found = sampling(tokens, targets, factors, budget)
     # a cell without tokens weighs nothing, so its documents stay
-    return Mixture(centres, targets, factors, {c: min(1.0, scale * factors[c]) if c in factors else 1.0 for c in tokens})
+    return Mixture(centres, targets, factors, {c: found.get(c, 1.0) for c in tokens})
 
 
 def uniform(id_col: Column, seed: int = 1) -> Column:

@@ -68,3 +68,20 @@ def test_budget_named_targets_nulls_and_empty_tables(spark, docs, words):
     assert {r.doc_id: r.source for r in mix(nulls).collect()} == {1: OTHER, 2: "s"}
     measured = spark.createDataFrame([("s", "en", "topic0", 0)], "source string, lang string, topic string, n_tokens long")
     assert calibrate(measured, None).probabilities == {("s", "en", "topic0"): 1.0} or calibrate(measured, None).probabilities
+
+
+def test_sampled_marginals_meet_targets_within_capacity():
+    rng = random.Random(4)
+    tokens = {(s, g, t): float(rng.randrange(50, 150) * size * much) for s in "abcd" for g, size in (("x", 4), ("y", 1)) for t, much in (("1", 8), ("2", 4), ("3", 0.5))}
+    targets = {"source": dict(a=0.3, b=0.3, c=0.2, d=0.2), "lang": dict(x=0.7, y=0.3), "topic": {"1": 0.5, "2": 0.3, "3": 0.2}}
+    total = sum(tokens.values())
+    found = mixing.sampling(tokens, targets, rake(tokens, targets), 0.6 * total)
+    assert max(found.values()) == 1 and sum(n * found[c] for c, n in tokens.items()) == pytest.approx(0.6 * total)
+    got = [shares(tokens, found, k) for k in range(3)]
+    assert got[0] == pytest.approx(targets["source"], abs=1e-6)
+    assert got[1] == pytest.approx(targets["lang"], abs=1e-6)
+    # there is less of topic 3 than its target wants: it is kept whole, and the others meet theirs among themselves
+    assert all(found[c] == 1 for c in tokens if c[2] == "3")
+    assert got[2]["1"] / got[2]["2"] == pytest.approx(5 / 3, abs=1e-6)
+    clipped = {c: min(1, 0.75 * f) for c, f in rake(tokens, targets).items()}
+    assert abs(shares(tokens, clipped, 0)["a"] - 0.3) > 1e-3 or abs(shares(tokens, clipped, 1)["y"] - 0.3) > 1e-3
