@@ -2,8 +2,8 @@
 
 Tokens are counted in cells of source, language and topic. Raking scales the cells, one marginal after another, until
 their token shares meet the targets of all three; each document is then sampled with its cell's calibrated probability,
-by a hash of its id, so that the same documents come out every time. Values that the targets don't name share one
-category, so there are as many cells as the targets allow, however many sources a corpus has.
+by a hash of its id, so that the same documents come out every time. Values that given targets don't name share one
+category; targets taken from the corpus name every value. Up to MOST_CELLS cells are raked on the driver, more as tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .shared import written
 
@@ -24,10 +25,11 @@ OTHER = "(other)"
 TOPICS = 8
 WIDTH = 256  # hashed words
 SAMPLE_DOCUMENTS = 4000  # bound of the sample that the topic centres are fitted on
-NAMED_VALUES = 256  # sources, and languages, that targets taken from the corpus name
+MOST_CELLS = 50_000  # that the driver rakes, and workers hold
 FLATTENING = 0.7
 KEPT_SHARE = 0.8  # of the corpus's tokens, unless a budget is given
 ROUNDS, PRECISION = 1000, 1e-10
+TABLE_ROUNDS, TABLE_PRECISION = 200, 1e-7  # where cells are raked as tables
 MARGINALS = ("source", "lang", "topic")
 
 
@@ -89,15 +91,14 @@ def with_attributes(docs: DataFrame, centres: np.ndarray, id_col: str, text_col:
 
 
 def flattened_targets(measured: DataFrame, power: float = FLATTENING) -> dict[str, dict[str, float]]:
-    """Targets that lessen the corpus's own imbalance: each value's token share to a power below 1. The NAMED_VALUES largest of a marginal are named, the rest are one category."""
+    """Targets that lessen the corpus's own imbalance: each value's token share to a power below 1. Every value is named."""
     targets = {}
     for marginal in MARGINALS:
-        totals = measured.groupBy(marginal).agg(F.sum("n_tokens").alias("n"))
-        everything = totals.agg(F.sum("n")).first()[0] or 0
-        top = {r[marginal]: r["n"] for r in totals.orderBy(F.desc("n"), marginal).limit(NAMED_VALUES).collect()}
-        top[OTHER] = top.get(OTHER, 0) + everything - sum(top.values())
-        powers = {k: (n / everything) ** power for k, n in top.items() if n > 0}
-        targets[marginal] = {k: p / sum(powers.values()) for k, p in powers.items()}
+        totals = {r[marginal]: r["n"] for r in measured.groupBy(marginal).agg(F.sum("n_tokens").alias("n")).collect()}  # of MOST_CELLS cells at most
+        everything = sum(totals.values()) or 1
+        powers = {k: (n / everything) ** power for k, n in totals.items()}
+        whole = sum(powers.values()) or 1
+        targets[marginal] = {k: p / whole for k, p in powers.items()}
     return targets
 
 
@@ -114,7 +115,8 @@ def rake(tokens: dict[tuple[str, ...], float], targets: dict[str, dict[str, floa
         names = sorted({c[k] for c in cells})
         wanted = np.array([targets[marginal].get(v, 0.0) for v in names])
         wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(names), 1 / len(names))
-        axes.append((np.array([names.index(c[k]) for c in cells]), wanted))
+        place = {v: i for i, v in enumerate(names)}
+        axes.append((np.array([place[c[k]] for c in cells]), wanted))
     for _ in range(ROUNDS):
         worst = 0.0
         for at, wanted in axes:
@@ -183,12 +185,61 @@ def sampling(tokens: dict[tuple[str, ...], float], targets: dict[str, dict[str,
     return dict.fromkeys(factors, 0.0) | dict(zip(cells, probabilities().tolist(), strict=True))
 
 
+def rake_tables(cells: DataFrame, budget: float, power: float = FLATTENING) -> DataFrame:
+    """source, lang, topic, n_tokens (a table from written()) -> source, lang, topic, weight, probability: as rake and sampling with flattened_targets, in joins and aggregates, for any number of values.
+
+    Iterates to TABLE_PRECISION of the tokens, or until rounds no longer come nearer, for TABLE_ROUNDS rounds at most."""
+    held = cells.filter("n_tokens > 0")
+    total = held.agg(F.sum("n_tokens")).first()[0] or 0
+    budget = min(budget, total)
+    state = held.select(*MARGINALS, F.col("n_tokens").cast("double").alias("n"), F.lit(1.0).alias("weight"), F.lit(budget / max(total, 1)).alias("raised"), F.lit(False).alias("whole"))
+    goals = {}
+    for m in MARGINALS:
+        values = held.groupBy(m).agg(F.sum("n_tokens").cast("double").alias("held")).withColumn("share", F.pow(F.col("held") / F.lit(float(total)), F.lit(power)))
+        values = written(values, "values", cells)
+        shares = values.agg(F.sum("share")).first()[0] or 1.0
+        level, full = budget / shares, 0  # tokens for a share of one; values that hold less are kept whole
+        while True:
+            over = F.col("held") <= F.col("share") * level
+            found = values.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("held"))).alias("kept"), F.sum(F.when(~over, F.col("share"))).alias("rest")).first()
+            if found["n"] == full or not found["rest"]:
+                break
+            full, level = found["n"], (budget - (found["kept"] or 0.0)) / found["rest"]
+        over = F.col("held") <= F.col("share") * level
+        goals[m] = written(values.select(m, (F.col("share") / shares * total).alias("wanted"), F.least("held", F.col("share") * level).alias("gets"), over.alias("over")), "goals", cells)
+        state = state.join(goals[m].select(m, "over"), m).withColumn("whole", F.col("whole") | F.col("over")).drop("over")
+    probability = F.when(F.col("whole"), 1.0).otherwise(F.least(F.lit(1.0), F.col("raised")))
+    state, last = written(state, "cells", cells), float("inf")
+    for _ in range(TABLE_ROUNDS if total else 0):
+        new = state.withColumn("off", F.lit(0.0))
+        for m in MARGINALS:
+            now = new.groupBy(m).agg(F.sum(F.col("n") * F.col("weight")).alias("weighs"), F.sum(F.col("n") * probability).alias("taken")).join(goals[m], m)
+            off = F.greatest(F.abs(F.col("weighs") - F.col("wanted")), F.abs(F.col("taken") - F.col("gets"))) / total
+            now = now.select(m, (F.col("wanted") / F.col("weighs")).alias("up"), (F.col("gets") / F.col("taken")).alias("more"), off.alias("now_off"))
+            new = new.join(now, m).select(*MARGINALS, "n", (F.col("weight") * F.col("up")).alias("weight"), F.least(F.lit(1e100), F.col("raised") * F.col("more")).alias("raised"), "whole", F.greatest("off", "now_off").alias("off"))
+        new = written(new, "raked", cells)
+        worst = new.agg(F.max("off")).first()[0]
+        state = new.drop("off")
+        if worst < TABLE_PRECISION or worst > 0.999 * last:
+            break
+        last = worst
+    for _ in range(50):  # the budget is met in any case
+        free = ~F.col("whole") & (F.col("raised") < 1)
+        kept, rest = state.agg(F.sum(F.when(~free, F.col("n"))), F.sum(F.when(free, F.col("n") * F.col("raised")))).first()
+        more = (budget - (kept or 0.0)) / rest if rest else 1.0
+        if abs(more - 1) < PRECISION or more <= 0:
+            break
+        state = state.withColumn("raised", F.col("raised") * more)
+    return written(state.select(*MARGINALS, "weight", probability.alias("probability")), "cells", cells)
+
+
 @dataclass(frozen=True)
 class Mixture:
     centres: np.ndarray
     targets: dict[str, dict[str, float]]
     factors: dict[tuple[str, ...], float]
     probabilities: dict[tuple[str, ...], float]
+    cells: DataFrame | None = None  # in place of the dicts, where there are more than MOST_CELLS
 
     def cell(self, source: str, lang: str, topic: str) -> tuple[str, ...]:
         return tuple(v if v in self.targets[m] else OTHER for m, v in zip(MARGINALS, (source, lang, topic), strict=True))
@@ -196,9 +247,16 @@ class Mixture:
 
 def calibrate(measured: DataFrame, centres: np.ndarray, targets: dict[str, dict[str, float]] | None = None, budget: float | None = None) -> Mixture:
     """Rakes the cells of a measured table, and probabilities under the limit of 1, such that budget tokens are expected (KEPT_SHARE of all if none is given). Values that the targets want more of than there is are kept whole, and the others of their marginal meet the targets among themselves."""
-    targets = targets or flattened_targets(measured)
-    named = [F.when(F.col(m).isin([*targets[m]]), F.col(m)).otherwise(OTHER).alias(m) for m in MARGINALS]
-    rows = measured.select(*named, "n_tokens").groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n")).collect()  # a row for each cell of the targets
+    if targets:
+        named = [F.when(F.col(m).isin([*targets[m]]), F.col(m)).otherwise(OTHER).alias(m) for m in MARGINALS]
+        cells = measured.select(*named, "n_tokens").groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n_tokens"))
+    else:
+        cells = written(measured.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
+        if cells.count() > MOST_CELLS:
+            budget = KEPT_SHARE * cells.agg(F.sum("n_tokens")).first()[0] if budget is None else budget
+            return Mixture(centres, {}, {}, {}, rake_tables(cells, budget))
+        targets = flattened_targets(cells)
+    rows = cells.withColumnRenamed("n_tokens", "n").collect()  # a row for each cell of the targets, or MOST_CELLS at most
     tokens = {tuple(r[m] for m in MARGINALS): float(r["n"]) for r in rows}
     factors = rake(tokens, targets)
     budget = KEPT_SHARE * sum(tokens.values()) if budget is None else budget
@@ -226,12 +284,16 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     """
     measured, centres = measure(docs, id_col, text_col, source_col, lang_col)
     found = calibrate(measured, centres, targets, budget)
+    sampled = (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
+    if found.cells is not None:
+        joined = measured.join(found.cells, [*MARGINALS], "left").fillna({"weight": 0.0, "probability": 1.0})
+        return joined.select("doc_id", *MARGINALS, "n_tokens", "weight", "probability", sampled)
     rows = [(*c, float(found.factors.get(c, 0.0)), float(p)) for c, p in found.probabilities.items()]
     table = docs.sparkSession.createDataFrame(rows, "c0 string, c1 string, c2 string, weight double, probability double")
     for i, m in enumerate(MARGINALS):
-        measured = measured.withColumn(f"m{i}", F.when(F.col(m).isin([*found.targets[m]]), F.col(m)).otherwise(OTHER))
-    joined = measured.join(F.broadcast(table), [F.col(f"m{i}") == F.col(f"c{i}") for i in range(3)])  # as many rows as cells of the targets
-    return joined.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
+        measured = measured.withColumn(f"m{i}", F.when(F.col(m).isin([*targets[m]]), F.col(m)).otherwise(OTHER) if targets else F.col(m))
+    joined = measured.join(F.broadcast(table), [F.col(f"m{i}") == F.col(f"c{i}") for i in range(3)])  # as many rows as cells of the targets, or MOST_CELLS at most
+    return joined.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", sampled)
 
 
 def keep_sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 1) -> DataFrame:
@@ -245,10 +307,24 @@ def keep_sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
         for batch in batches:
             _, topic = attributes(batch.column(at[text_col]), found.centres)
             sources, langs, drawn = (batch.column(i).to_pylist() for i in (at[source_col], at[lang_col], len(names)))
-            keep = [u < found.probabilities[found.cell(s or OTHER, g or OTHER, f"topic{t}")] for s, g, t, u in zip(sources, langs, topic, drawn, strict=True)]
+            keep = [u < found.probabilities[found.cell(OTHER if s is None else s, OTHER if g is None else g, f"topic{t}")] for s, g, t, u in zip(sources, langs, topic, drawn, strict=True)]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("drawn__" + "_".join(names)[:40], uniform(F.col(id_col), seed)).mapInArrow(run, docs.schema)
+    drawn = docs.withColumn("drawn__" + "_".join(names)[:40], uniform(F.col(id_col), seed))
+    if found.cells is None:
+        return drawn.mapInArrow(run, docs.schema)
+    added = "topic__" + "_".join(names)[:40]
+
+    def with_topic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, topic = attributes(batch.column(at[text_col]), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"topic{t}" for t in topic], pa.string())], names=[*batch.schema.names, added])
+
+    table = found.cells.select(*(F.col(m).alias(f"{m}__cell") for m in MARGINALS), F.col("probability").alias("probability__cell"))
+    rows = drawn.mapInArrow(with_topic, StructType([*drawn.schema.fields, StructField(added, StringType())]))
+    mine = (F.coalesce(F.col(source_col), F.lit(OTHER)), F.coalesce(F.col(lang_col), F.lit(OTHER)), F.col(added))
+    joined = rows.join(table, [c == F.col(f"{m}__cell") for c, m in zip(mine, MARGINALS, strict=True)], "left")
+    return joined.filter(F.col(drawn.columns[-1]) < F.coalesce("probability__cell", F.lit(1.0))).select(*names)
 
 
 def cells_of(targets: dict[str, dict[str, float]]) -> int:

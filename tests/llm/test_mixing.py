@@ -85,3 +85,33 @@ def test_sampled_marginals_meet_targets_within_capacity():
     assert got[2]["1"] / got[2]["2"] == pytest.approx(5 / 3, abs=1e-6)
     clipped = {c: min(1, 0.75 * f) for c, f in rake(tokens, targets).items()}
     assert abs(shares(tokens, clipped, 0)["a"] - 0.3) > 1e-3 or abs(shares(tokens, clipped, 1)["y"] - 0.3) > 1e-3
+
+
+def many_sources(spark):
+    rng = random.Random(6)
+    return spark.createDataFrame([(f"src{k}", g, f"topic{t}", rng.randrange(5, 50) * (2000 if k == 0 else 1 + k % 7)) for k in range(400) for g in ("en", "de") for t in range(2)], "source string, lang string, topic string, n_tokens long")
+
+
+def test_every_source_has_its_marginal(spark):
+    measured = many_sources(spark)
+    tokens = {(r.source, r.lang, r.topic): r.n_tokens for r in measured.collect()}
+    own = shares(tokens, dict.fromkeys(tokens, 1), 0)
+    power = {v: s**mixing.FLATTENING for v, s in own.items()}
+    want = {v: p / sum(power.values()) for v, p in power.items()}
+    assert shares(tokens, calibrate(measured, None).factors, 0) == pytest.approx(want, abs=1e-7)
+
+
+def test_tables_are_raked_as_on_the_driver(spark, docs, words, monkeypatch):
+    measured = many_sources(spark)
+    small = calibrate(measured, None)
+    df = docs([(k, " ".join(words(k, 20))) for k in range(30)], "a").unionByName(docs([(100 + k, " ".join(words(k, 30))) for k in range(20)], "")).unionByName(docs([(200, None), (201, "a b")], None))
+    before = sorted((r.doc_id, r.source, r.topic, r.sampled) for r in mix(df).collect())
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    large = {(r.source, r.lang, r.topic): r for r in calibrate(measured, None).cells.collect()}
+    assert {c: r.weight for c, r in large.items()} == pytest.approx(small.factors, rel=1e-3)
+    assert {c: r.probability for c, r in large.items()} == pytest.approx(small.probabilities, abs=1e-3)
+    got = mix(df).collect()
+    assert len(got) == 52 and sum(a != (r.doc_id, r.source, r.topic, r.sampled) for a, r in zip(before, sorted(got, key=lambda r: r.doc_id), strict=True)) <= 1
+    kept = keep_sampled(df)
+    assert kept.schema == df.schema
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.sampled)
