@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
@@ -16,10 +19,47 @@ BYTES_PER_FILE = 4_000_000
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Spark's name for how many rows a batch for Python holds.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole documents go to Python ROWS_AT_ONCE at a time, unless the session sets another number than Spark's 10,000, which makes batches of tens of MB."""
+    if int(spark.conf.get(BATCH_ROWS)) == 10_000:
+        spark.conf.set(BATCH_ROWS, ROWS_AT_ONCE)
+
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Mapper) -> Mapper:
+    """run, giving the memory that it is done with back to the system: Python workers are used again by later stages, and would keep it."""
+
+    @wraps(run)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return each
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset and everything runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ruleloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

@@ -73,11 +73,43 @@ def test_links_of_texts_that_share_only_large_buckets(spark, docs, words, monkey
     rows = [(2 * k + copy, " ".join([*base, *words(100 + k, 14), f"end{2 * k + copy}"])) for k in range(24) for copy in (0, 1)]
     wanted = brute(rows)
     assert len({c for _, c in wanted}) == 24
-    monkeypatch.setattr(nd, "LEVELS", ((4, 1), (4, 1)))
-    monkeypatch.setattr(nd, "MOST_LEADERS", 8)
+    monkeypatch.setattr(nd, "BANDS", 4)
+    monkeypatch.setattr(nd, "ROWS", 1)
     assert found(nd.near_dedup(docs(rows))) == wanted
 
 
+def test_pairs_by_prefix_are_all_pairs_that_are_alike(spark):
+    """Candidates of the exact join against all pairs, over texts of mixed lengths that share rare and frequent words."""
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(n)] for n in (3, 7, 30, 31, 33, 120)]
+    texts = []
+    for base in bases * 12:
+        out = list(base)
+        for _ in range(rng.randrange(0, 1 + len(out) // 12)):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randrange(2)] = [f"w{rng.randrange(60)}"] * rng.randrange(3)
+        texts.append(b" ".join(x.encode() for x in out))
+    pack = nd.zstandard.ZstdCompressor()
+    rows = written(spark.createDataFrame([(i, bytearray(pack.compress(t))) for i, t in enumerate(texts)], "node long, packed binary"), "texts")
+    nodes = written(rows.select("node"), "nodes")
+    labels = rows.select("node", rows.node.alias("comp"))
+    sets = [nd.shingles(t.split(), 5) for t in texts]
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if nd.similarity(sets[a], sets[b]) >= 0.8}
+    got = {(r.a, r.b) for r in nd.prefix_pairs(nodes, labels, rows, 5, 0.8).collect()}
+    assert len(alike) > 100 and alike <= got
+    assert len(got) < len(texts) * (len(texts) - 1) // 4
+
+
+def test_columns_with_clashing_names_and_ids_of_text(spark):
+    rows = [("b", "one two three four five six", 1, 2, 3), ("a", "one two three four five six", 4, 5, 6), ("c", None, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, kept_id int, __id int, first_of_ID int")
+    kept = nd.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2]], key=str)
+    twice = nd.keep_one_of_each(df.unionByName(df))
+    assert sorted(map(tuple, twice.collect()), key=str) == sorted([rows[1], rows[2]], key=str)
+
+
 def test_nulls_short_and_long_texts_ties_and_empty_tables(spark, docs, words):
     long = words(3, 20000)
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "one two"), (6, "one  two"), (7, "two one"), (8, " ".join(long)), (9, " ".join([*long[:-1], "x"])), (10, "a " * 400), (11, "a " * 390)]
