@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +26,28 @@ Order = list[tuple[str, bool]]  # column, ascending
 
 
 def greedy(pairs: DataFrame, group: list[str], left: str, right: str, order: Order) -> DataFrame:
-    """The accepted rows of pairs. The order must decide every tie."""
+    """The accepted rows of pairs. The order must decide every tie; nulls come last.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable")
-        used_left, used_right, kept = set(), set(), []
-        for i, a, b in zip(rows.index, rows[left], rows[right], strict=True):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                kept.append(i)
-        return rows.loc[kept]
-
-    return pairs.groupBy(*group).applyInPandas(run, pairs.schema)
+    Pairs stream through each task sorted by group and order, so that small groups cost no call each, and a large one no
+    more memory than the sides it has taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_left, used_right = None, set(), set()
+        for batch in batches:
+            kept = []
+            for key, a, b in zip(zip(*(batch[c].to_pylist() for c in group), strict=True), batch[left].to_pylist(), batch[right].to_pylist(), strict=True):
+                if key != now:
+                    now, used_left, used_right = key, set(), set()
+                free = a not in used_left and b not in used_right
+                if free:
+                    used_left.add(a)
+                    used_right.add(b)
+                kept.append(free)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    return pairs.repartition(*group).sortWithinPartitions(*group, *by).mapInArrow(run, pairs.schema)
 
 
 def by_rounds(pairs: DataFrame, group: list[str], left: str, right: str, order: Order) -> DataFrame:

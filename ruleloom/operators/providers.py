@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, norm
-from ..functions.values import is_placeholder
-from .rules import classify
+from ..functions.values import is_placeholder, parse_example
+from .rules import append_text, attach_images, classify
 
 Provider = Callable[[list[dict]], list]
 
@@ -74,9 +74,31 @@ def key_on_page(key: Column, page_texts: Column) -> Column:
     return (k != "") & (F.exists(page_texts, lambda t: F.contains(tidy(t), k)) | F.contains(tidy(F.array_join(page_texts, " ")), k))
 
 
-def reconstruct(fields: DataFrame, page_texts: DataFrame, provider: Provider | None) -> DataFrame:
-    """Lets a model name sections and keys. Kinds, values, boxes and counts never change; a key is taken only if it stands on its page. page_texts: doc_id, page, texts."""
-    asked = fields.join(page_texts, ["doc_id", "page"], "left")
+def page_texts(lines: DataFrame) -> DataFrame:
+    """doc_id, page, texts: the lines of each page in their order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_ord", clean("text").alias("t")))), lambda x: x["t"])
+    return lines.filter(clean("text") != "").groupBy("doc_id", "page").agg(texts.alias("texts"))
+
+
+def recognise_examples(rules: DataFrame, images: DataFrame, recogniser: Provider | None, calls: int = 4) -> DataFrame:
+    """Adds what a recogniser reads in each rule's pictures to the rule's example, and parses the example again; the text itself is in "recognised", null where nothing was read.
+
+    images: sheet, row0, image_ord, content. Texts of several pictures of a rule are joined in their order.
+    """
+    place = ["sheet", "row0", "image_ord"]
+    requests = images.join(attach_images(rules, images), place).select(*place, "rule_id", "content")
+    answered = ask(requests, place, recogniser, "string", calls=calls).withColumn("t", clean("answer")).filter("t <> ''")
+    read = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row0", "image_ord", "t"))), lambda x: x["t"]), " ")
+    joined = rules.join(answered.groupBy("sheet", "rule_id").agg(read.alias("recognised")), ["sheet", "rule_id"], "left")
+    there = F.col("recognised").isNotNull()
+    shown = joined.withColumn("__shown", F.when(there, parse_example("example", "recognised", True)))
+    changes = {"expected_kind": F.col("__shown.kind"), "expected_options": F.col("__shown.options"), "example": append_text(F.col("example"), F.col("recognised"))}
+    return shown.withColumns({c: F.when(there, v).otherwise(F.col(c)) for c, v in changes.items()}).drop("__shown")
+
+
+def reconstruct(fields: DataFrame, texts: DataFrame, provider: Provider | None) -> DataFrame:
+    """Lets a model name sections and keys. Kinds, values, boxes and counts never change; a key is taken only if it stands on its page. texts: doc_id, page, texts, as from page_texts()."""
+    asked = fields.join(texts, ["doc_id", "page"], "left")
     requests = asked.select("doc_id", "page", "field_ord", "kind", "section", "subsection", "key", "value_text", "texts")
     answered = ask(requests, ["doc_id", "page"], provider, "struct<kind:string,section:string,subsection:string,key:string>")
     sound = answered.filter(F.col("answer.kind").isin("text", "composite", "checkbox_group"))
@@ -87,6 +109,35 @@ def reconstruct(fields: DataFrame, page_texts: DataFrame, provider: Provider | N
     return out.drop("__s", "__u", "__k")
 
 
+def align_with_model(rows: DataFrame, provider: Provider | None) -> DataFrame:
+    """Asks a model for those expected options that no held label fits: aligned with the labels that it names, if they are among those held and no other option has them.
+
+    rows: doc_id, rule_id, item, aligned (array of option, label, state), held (array of label, state).
+    """
+    labels = F.transform("held", lambda h: h["label"])
+    open_ = F.transform(F.filter("aligned", lambda a: a["label"].isNull()), lambda a: a["option"])
+    requests = rows.select("doc_id", "rule_id", "item", open_.alias("options"), labels.alias("labels")).filter("size(options) > 0 and size(labels) > 0")
+    answered = ask(requests, ["doc_id", "rule_id"], provider, "map<string,string>", batch=PAIR_BATCH).select("doc_id", "rule_id", F.col("answer").alias("__answer"))
+    joined = rows.join(answered, ["doc_id", "rule_id"], "left")
+    taken = F.transform("aligned", lambda a: a["label"])
+
+    def option(a: Column) -> Column:
+        named = accepted_option(F.try_element_at("__answer", a["option"]), F.array_except(labels, taken))
+        state = F.get(F.filter("held", lambda h: h["label"] == named), F.lit(0))["state"]
+        return F.struct(a["option"].alias("option"), F.coalesce(a["label"], named).alias("label"), F.coalesce(a["state"], state).alias("state"))
+
+    return joined.withColumn("aligned", F.when(F.col("__answer").isNull(), F.col("aligned")).otherwise(F.transform("aligned", option))).drop("__answer")
+
+
+def repair_keys(fields: DataFrame, candidates: DataFrame, provider: Provider | None) -> DataFrame:
+    """Lets a model choose a checkbox group's key among the texts printed near it; the key stays where its choice is none of them, or is an option. candidates: doc_id, field_ord, texts."""
+    options = F.transform(F.coalesce("children", F.array()), lambda c: c["label"])
+    asked = fields.filter("kind = 'checkbox_group'").join(candidates, ["doc_id", "field_ord"]).select("doc_id", "field_ord", "key", options.alias("options"), "texts")
+    answered = ask(asked, ["doc_id", "field_ord"], provider, "string", batch=PAIR_BATCH)
+    chosen = answered.select("doc_id", "field_ord", accepted_key(F.col("answer"), F.col("texts"), F.col("options")).alias("__key"))
+    return fields.join(chosen, ["doc_id", "field_ord"], "left").withColumn("key", F.coalesce("__key", "key")).drop("__key")
+
+
 REPAIRABLE = ("item", "instruction", "example", "if_missing", "if_unknown")
 
 

@@ -24,8 +24,10 @@ def session(name: str = "ruleloom", cores: str | None = None, **conf: str) -> Sp
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder of spark.checkpoint.dir; a temporary folder only where none is set."""
+    """df computed once and kept in the folder of spark.checkpoint.dir; a temporary folder only where none is set and everything runs on this machine."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ruleloom-"))
     return df.checkpoint()

@@ -47,6 +47,13 @@ def page_sizes(analyses: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("page").try_cast("int").alias("page"), F.col("size")[0].alias("width"), F.col("size")[1].alias("height"))
 
 
+def element_counts(analyses: DataFrame) -> DataFrame:
+    """How many pairs, checkboxes among them, lines, styles and pages each analysis has."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    pairs = F.coalesce("key_value_pairs", F.array())
+    return analyses.select("doc_id", size(pairs).alias("n_pairs"), F.size(F.filter(pairs, lambda p: F.coalesce(p["is_checkbox"], F.lit(False)))).alias("n_checkboxes"), size(F.coalesce("lines", F.array())).alias("n_lines"), size(F.coalesce("styles", F.array())).alias("n_styles"), F.coalesce("pages", F.lit(0)).alias("n_pages"))
+
+
 def longer_text(service: str, native: str):
     """The native text of a file where it is longer than the service's."""
     a, b = F.coalesce(F.col(service), F.lit("")), F.coalesce(F.col(native), F.lit(""))

@@ -41,6 +41,26 @@ def summary(rows: DataFrame) -> DataFrame:
     return status_counts(rows, ["doc_id"]).orderBy("doc_id", "status")
 
 
+def result_rows(results: DataFrame) -> DataFrame:
+    """Results with flat columns only: the box's corners as bbox_x0 to bbox_y1, and the metadata's fields."""
+    corners = [F.col(f"bbox.{n}").alias(f"bbox_{n}") for n in ("x0", "y0", "x1", "y1")]
+    return results.select(*(c for c in results.columns if c not in ("bbox", "metadata")), *corners, "metadata.*")
+
+
+def comparison_documents(rows: DataFrame, mask: bool = True) -> DataFrame:
+    """One object for each document: total, summary (rows by status) and records (the flat comparison, by id)."""
+    records = flat_records(rows, mask)
+    fields = [c for c in records.columns if c != "doc_id"]
+    counts = records.groupBy("doc_id", "status").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("status", "n"))).alias("summary"), F.sum("n").alias("total"))
+    listed = records.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("records"))
+    return counts.join(listed, "doc_id").select("doc_id", "total", "summary", "records")
+
+
+def write_documents(rows: DataFrame, path: str, mask: bool = True) -> None:
+    """The comparison objects, a JSON line for each document."""
+    comparison_documents(rows, mask).write.mode("overwrite").json(path)
+
+
 def write_json(rows: DataFrame, path: str, mask: bool = True, legacy_mask: bool = False) -> None:
     """One JSON object for each row. Texts inside checks are masked as well, unless legacy_mask leaves them."""
     out = masked(rows, [c for c in ("di_value", "actual", "expected", "message") if c in rows.columns], mask)
@@ -63,3 +83,4 @@ def write_workbook(rows: DataFrame, path: str) -> None:
     with pd.ExcelWriter(path) as writer:
         summary(rows).toPandas().to_excel(writer, index=False, sheet_name="Summary")
         flat_records(rows).toPandas().to_excel(writer, index=False, sheet_name="Comparisons")
+        result_rows(results(rows)).toPandas().to_excel(writer, index=False, sheet_name="Results")
