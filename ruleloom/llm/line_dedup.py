@@ -1,10 +1,10 @@
 """Line deduplication by winnowing, in DataFrame functions only.
 
-A run of RUN_LINES lines is a window; its least line hash (the last of equal ones) is its fingerprint, so that equal runs
-are sure to have equal fingerprints. Positions whose fingerprint occurs once in the corpus are done with. Around the others
-the windows that chose the position are joined on the hash of all their lines: a match reaches to both sides of the
-position as far as windows stay equal, since windows that overlap make up one longer run. Of equal windows the first, by
-document id and place, stays; every line that a later one covers is deleted.
+The least line hash of each window of RUN_LINES lines (the last of equal ones) is a fingerprint; only the positions so
+selected are stored, and equal runs of as many lines are sure to hold equal ones. Positions are joined on their
+fingerprint. Those that others share are extended to both sides, a line at a time, as long as an earlier place holds the
+same lines: of all that agree only the first is met, so that a frequent line costs no pairs. Whatever a later place has in
+common with an earlier one, for RUN_LINES lines or more, is deleted there.
 """
 
 from __future__ import annotations
@@ -12,61 +12,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 RUN_LINES = 2
 
 
+#: White space that doesn't count at the ends of a line.
+BLANK = " \t\x0b\x0c\r"
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _windows(lines: Column, run: int) -> Column:
-    """Array of (fp, pos: where its line is, s: which window, a and b: two hashes of all its lines, at: the line numbers) from an array of (i, h, g)."""
+def hashed_lines(rows: DataFrame, text: Column, run: int) -> DataFrame:
+    """row_id, doc_id, at (numbers of the lines that aren't blank), h (128-bit hashes of them), of documents with as many lines as a run."""
+    numbered = F.transform(_lines(text), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANK)).alias("l")))
+    held = rows.select("row_id", "doc_id", F.filter(numbered, lambda x: x["l"] != "").alias("lines")).filter(F.size("lines") >= run)
+    return held.select("row_id", "doc_id", F.transform("lines", lambda x: x["i"]).alias("at"), F.transform("lines", lambda x: F.unhex(F.md5(x["l"]))).alias("h"))
+
+
+def positions(lines: DataFrame, run: int) -> DataFrame:
+    """row_id, p, fp: the winnowed positions. p counts lines that aren't blank."""
+    marked = F.transform("h", lambda x, i: F.struct(x.alias("h"), (-i).alias("back")))
+    least = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: F.array_min(F.slice(F.col("marked"), s + 1, F.lit(run))))
+    return lines.withColumn("marked", marked).select("row_id", F.explode(F.array_distinct(least)).alias("x")).select("row_id", (-F.col("x.back")).alias("p"), F.col("x.h").alias("fp"))
 
-    def window(s: Column) -> Column:
-        part = F.slice(lines, s + 1, F.lit(run))
-        least = F.array_min(F.transform(part, lambda x: F.struct(x["h"].alias("h"), (-x["i"]).alias("back"))))
-        hashes = F.transform(part, lambda x: x["h"])
-        return F.struct(
-            least["h"].alias("fp"),
-            (-least["back"]).alias("pos"),
-            s.alias("s"),
-            F.xxhash64(hashes).alias("a"),
-            F.xxhash64(F.lit(7), F.transform(part, lambda x: x["g"])).alias("b"),
-            F.transform(part, lambda x: x["i"]).alias("at"),
-        )
 
-    return F.transform(F.sequence(F.lit(0), F.size(lines) - run), window)
+def extended(lines: DataFrame, shared: DataFrame, run: int) -> DataFrame:
+    """row_id, doc_id, s, key, at: runs of lines to both sides of the shared positions (row_id, p), each once; at: their line numbers."""
+    per_row = shared.groupBy("row_id").agg(F.collect_set("p").alias("ps"))
+    starts = F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p, F.size("h") - run))))
+    each = lines.hint("merge").join(per_row, "row_id").select("row_id", "doc_id", "at", "h", F.explode(F.array_distinct(starts)).alias("s"))
+    joined = F.array_join(F.transform(F.slice("h", F.col("s") + 1, F.lit(run)), F.hex), "")
+    return each.select("row_id", "doc_id", "s", F.unhex(F.md5(joined)).alias("key"), F.slice("at", F.col("s") + 1, F.lit(run)).alias("at"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN_LINES) -> DataFrame:
     """Deletes runs of run or more lines that an earlier document, or an earlier part of the same one, holds already.
 
     Returns the input's rows, with all columns and the text without those lines, and n_lines and n_removed (columns of
-    these names in the input are replaced). Lines are compared without the white space at their ends; blank lines are
-    neither compared nor deleted, and don't part a run. Shorter documents than a run keep all of their lines. A null text
-    stays null, and has one line. Earlier is by id, nulls first, then by place in the input; so of repeated rows the first
-    stays whole. An empty table gives an empty result.
+    these names in the input are replaced, whatever the case of their letters). Lines are compared without BLANK at their
+    ends; lines with nothing else are neither compared nor deleted, and don't part a run. Shorter documents than a run
+    keep all of their lines. A null text stays null, and has one line. Earlier is by id, nulls first, then by place in the
+    input; so of repeated rows the first stays whole. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     rows = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*names).alias("doc")), "rows")
-    numbered = F.transform(_lines(F.col(f"doc.{text_col}")), lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, "\r", "")).alias("l")))
-    hashed = F.transform(F.filter(numbered, lambda x: x["l"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["l"]).alias("h"), F.xxhash64(F.lit(3), x["l"]).alias("g")))
-    lined = rows.select("row_id", F.col(f"doc.{id_col}").alias("doc_id"), hashed.alias("lines")).filter(F.size("lines") >= run)
-    each = written(lined.select("row_id", "doc_id", F.explode(_windows(F.col("lines"), run)).alias("w")).select("row_id", "doc_id", "w.*"), "windows")
-
-    # positions of a fingerprint: repeated if the first and the last of them differ
-    chosen = F.struct("row_id", "pos")
-    repeated = written(each.groupBy("fp").agg(F.min(chosen).alias("first"), F.max(chosen).alias("last")).filter("first <> last").select("fp"), "fingerprints")
-    suspects = each.join(repeated, "fp").select("row_id", "doc_id", "s", "a", "b", "at")
+    lines = written(hashed_lines(rows.withColumn("doc_id", F.col("doc")[id_col]), F.col("doc")[text_col], run), "lines")
+    chosen = written(positions(lines, run), "positions")
+
+    # tables that grow with the corpus are never broadcast
+    repeated = written(chosen.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "fingerprints")
+    shared = chosen.hint("merge").join(repeated.hint("merge"), "fp").select("row_id", "p")
+    runs = written(extended(lines, shared, run), "runs")
+    for done in (lines, chosen, repeated):
+        discard(done)
     place = F.struct("doc_id", "row_id", "s")
-    firsts = written(suspects.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "first"), "firsts")
-    later = written(suspects.join(firsts, ["a", "b"]).filter(place > F.col("first")).select("row_id", "at"), "later")
+    firsts = runs.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    firsts = written(firsts, "firsts")
+    later = written(runs.hint("merge").join(firsts.hint("merge"), "key").filter(place > F.col("first")).select("row_id", "at"), "later")
+    for done in (runs, firsts):
+        discard(done)
     gone = later.groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
-    # what goes grows with the corpus, so it is never broadcast
-    joined = rows.join(gone.hint("merge"), "row_id", "left").withColumn("split", _lines(F.col(f"doc.{text_col}")))
+    joined = rows.hint("merge").join(gone, "row_id", "left").withColumn("split", _lines(F.col("doc")[text_col]))
     # lines and deleted numbers in one sorted array: a line stays unless its number stands right before it
     marks = F.concat(
         F.transform("split", lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("k"), x.alias("l"))),

@@ -58,10 +58,12 @@ b AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS k
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN b ON w.doc_id = b.doc_id
 """
 
-OP2 = """
+LINE = "trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
+OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT rid, doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM d),
-c AS (SELECT rid, doc_id, i, trim(replace(x, chr(13), '')) AS t FROM l WHERE trim(replace(x, chr(13), '')) <> ''),
+c AS (SELECT rid, doc_id, i, {LINE} AS t FROM l WHERE {LINE} <> ''),
 n AS (SELECT *, lead(t) OVER w AS t2, lead(i) OVER w AS i2 FROM c WINDOW w AS (PARTITION BY rid ORDER BY i)),
 f AS (SELECT rid, i, i2, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, rid, i) AS k FROM n WHERE t2 IS NOT NULL),
 g AS (SELECT rid, i FROM f WHERE k > 1 UNION SELECT rid, i2 FROM f WHERE k > 1),
