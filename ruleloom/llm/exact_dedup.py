@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, written
 
 BLOCK_CHARS = 8192
 
@@ -92,11 +92,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all of their columns. Repeated rows with one id and text stay once."""
+    """The rows of docs that exact_dedup keeps, with all of their columns, whatever these are called. Repeated rows with one id and text stay once."""
     found = written(exact_dedup(docs, id_col, text_col), "exact-dedup")
-    kept = found.filter("kept").select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__sha"))
+    key, sha, kept_sha = (fresh(docs, c) for c in ("kept_id", "sha_of_text", "kept_sha"))
+    kept = found.filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(kept_sha))
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs.join(kept.select(id_col), id_col, "left_semi") if found.filter("doc_id is null").isEmpty() else docs.join(kept.select(F.col(id_col).alias("__id")), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    marked = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)), 256))
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("__sha").alias("__sha2"))
-    return marked.join(kept, marked[id_col].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha2"]), "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
+        return docs.join(kept, same, "left_semi")
+    marked = docs.withColumn(sha, F.sha2(ascii_lower(F.col(text_col)), 256))
+    return marked.join(kept, same & (F.col(sha) == F.col(kept_sha)), "left_semi").dropDuplicates([id_col, sha]).drop(sha)

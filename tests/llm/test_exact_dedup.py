@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ruleloom.llm.exact_dedup import exact_dedup
+from ruleloom.llm.exact_dedup import exact_dedup, keep_one
 from ruleloom.llm.queries import op6_exact_dedup, table
 
 
@@ -44,3 +44,12 @@ def test_long_texts_repeated_rows_null_ids_and_empty_tables(spark, docs):
     got = exact_dedup(docs([(7, "a"), (7, "A"), (None, "a"), (None, "b")])).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted([(7, 7, 3, False), (7, 7, 3, True), (None, 7, 3, False), (None, None, 1, True)], key=str)
     assert exact_dedup(docs([])).collect() == []
+
+
+def test_clashing_names_and_null_ids(spark):
+    rows = [(1, "A", 1, 2, 3, 4), (2, "a", 1, 2, 3, 4), (None, "b", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __sha int, __id int, KEPT_ID int, sha_of_text int")
+    for some in (df, df.unionByName(df)):
+        kept = keep_one(some)
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
