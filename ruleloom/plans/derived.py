@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, geometry, text, values
 from ..lookups import FORM_HINTS, LEAKED_MARKER
-from ..operators import assign, checkboxes, checks, layout, outcome, overlay, providers, sheetmatch
+from ..operators import assign, checkboxes, checks, guard, layout, outcome, overlay, providers, sheetmatch
 from ..operators import rules as R
 from ..schemas import CHECK, FIELDS
 from ..sources import analysis, sinks
@@ -595,3 +595,99 @@ def audited_customers(spark: SparkSession, sf: str) -> DataFrame:
 def audited_forms(spark, sf):
     """The whole audit, from matching to outcomes, over a form for each customer."""
     return audited_customers(spark, sf).select("doc_id", "rule_id", F.col("internal_status").alias("internal"), F.col("reviewer_status").alias("reviewer"), F.col("di_value").alias("value"))
+
+
+# ------------------------------------------------------------------------------------------------- identity and siblings
+IDENTITY = Derived("part", k="p_partkey", item="p_type || ' ' || p_name", di_key="CASE p_partkey % 4 WHEN 0 THEN lower(p_type) || ' - ' || p_name WHEN 1 THEN p_name WHEN 2 THEN 'Date' ELSE p_type || ', ' || p_name END", section="CASE WHEN p_partkey % 4 = 3 THEN 'Groom' ELSE '' END", di_section="CASE WHEN p_partkey % 8 = 3 THEN 'Bride' ELSE 'the groom' END", name="p_name", kind="p_type")
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN k % 4 = 2 THEN 'NAME' ELSE upper(item) END AS i, CASE WHEN k % 4 = 2 THEN 'DATE' WHEN k % 4 = 1 THEN upper(name) ELSE upper(item) END AS d, contains(lower(name), lower(kind)) AS twice FROM {IDENTITY.sql}),
+b AS (SELECT *, CASE WHEN k % 4 = 2 THEN 50e0 WHEN k % 4 = 1 THEN 2e2 * length(d) / (length(i) + length(d)) ELSE 1e2 END AS ratio, CASE WHEN k % 4 = 2 THEN 0e0 WHEN k % 4 = 1 AND NOT twice THEN 1e2 * 2 / 3 ELSE 1e2 END AS cover_rule, CASE WHEN k % 4 = 2 THEN 0e0 ELSE 1e2 END AS cover_field FROM a),
+c AS (SELECT *, CASE WHEN k % 4 = 2 THEN FALSE ELSE ratio >= 72 OR (cover_rule >= 75 AND cover_field >= 60) END AS lexical FROM b)
+SELECT k, lexical AND k % 8 <> 3 AS confident, round(ratio, 2) AS label_score, round(cover_rule, 2) AS rule_coverage, round(cover_field, 2) AS field_coverage,
+concat_ws('; ', CASE WHEN k % 4 = 2 THEN 'generic-only labels differ: NAME / DATE' WHEN NOT lexical THEN 'weak label similarity (' || printf('%.1f', ratio) || '%)' END, CASE WHEN k % 4 = 2 THEN 'distinctive words do not agree' END, CASE WHEN k % 4 = 1 AND NOT twice THEN 'words not found: ' || lower(kind) END, CASE WHEN k % 8 = 3 THEN 'section mismatch' END) AS reasons FROM c""")
+def identity_of_parts(spark, sf):
+    rows = IDENTITY(spark, sf).withColumn("item", F.when(F.col("k") % 4 == 2, "Name").otherwise(F.col("item"))).withColumns({"subsection": F.lit(""), "di_subsection": F.lit(None).cast("string")})
+    found = guard.identity(rows)
+    return found.select("k", *(F.col(f"identity.{n}").alias(n) for n in ("confident", "label_score", "rule_coverage", "field_coverage")), F.array_join("identity.reasons", "; ").alias("reasons"))
+
+
+NAMES = Derived("customer", doc_id="CAST(c_custkey AS STRING)", k="c_custkey", a="c_name", b="c_mktsegment")
+
+
+@query(f"""SELECT doc_id, 'NAME - First, Last' AS key, a || ', ' || b || CASE WHEN k % 2 = 0 THEN ' last' ELSE '' END AS value, CASE WHEN k % 2 = 0 THEN '0|1|2' ELSE '0|1' END AS members, TRUE AS complete, 'NAME' AS anchor_key FROM {NAMES.sql}""")
+def sibling_parts(spark, sf):
+    """A rule of two parts, whose fields stand on its line; the last one on another line for every second form."""
+    n = NAMES(spark, sf)
+    each = F.array(*(F.struct(F.lit(i).alias("field_ord"), F.lit(key).alias("key"), v.alias("value"), y.alias("y")) for i, (key, v, y) in enumerate((("NAME", F.col("a"), F.lit(0.2)), ("First", F.col("b"), F.lit(0.205)), ("Last", F.lit("last"), F.when(F.col("k") % 2 == 0, 0.2).otherwise(0.3)), ("First name of the very best man", F.lit("x"), F.lit(0.2))))))
+    place = geometry.box(F.col("field_ord") * 0.1, F.col("y"), F.col("field_ord") * 0.1 + 0.05, F.col("y"))
+    fields = n.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").select("doc_id", "field_ord", F.lit(1).alias("page"), F.lit("text").alias("kind"), "key", "value", place.alias("bbox"))
+    rules = n.select("doc_id", F.lit("r").alias("rule_id"), F.lit("NAME - First, Last").alias("item"), F.array(F.lit("First"), F.lit("Last")).alias("part_labels"), F.array(F.lit(""), F.lit(", ")).alias("part_separators"))
+    bound = assign.assign(rules, fields, n.select("doc_id", F.lit("r").alias("rule_id"), F.lit(0).alias("field_ord"), F.lit(90.0).alias("score")))
+    return bound.select("doc_id", "key", "value", F.array_join(F.transform("members", lambda m: m.cast("string")), "|").alias("members"), "complete", "anchor_key")
+
+
+@query(f"""SELECT doc_id, 'r' AS rule_id, CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS kv_ord, CASE WHEN k % 2 = 0 THEN 109.89e0 ELSE 103.89e0 END AS score FROM {NAMES.sql}""")
+def keys_by_party(spark, sf):
+    """A key that occurs twice: its first half is party A's; the second one's value is a placeholder."""
+    n = NAMES(spark, sf)
+    kv = n.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i).alias("kv_ord"), F.lit(key).alias("key"), v.alias("value")) for i, (key, v) in enumerate((("Balance  due", F.col("a")), ("BALANCE DUE", F.lit("unknown")), ("OTHER", F.lit("x"))))))).alias("x")).select("doc_id", "x.*")
+    labels = n.select("doc_id", F.lit("r").alias("rule_id"), F.lit(1).alias("rule_ord"), F.array(F.lit("Balance")).alias("labels"), F.when(F.col("k") % 2 == 0, "A").otherwise("B").alias("party"), F.lit("FIELD_TEXT").alias("rule_type"))
+    return assign.key_matches(labels, kv).withColumn("score", F.round("score", 6))
+
+
+# ----------------------------------------------------------------------------------------------------- answers of models
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Origin' ELSE p_name END AS item, CASE WHEN p_partkey % 4 = 0 THEN 'Orign' END AS was, 'FIELD_TEXT' AS rule_type FROM part""")
+def rules_mended_by_model(spark, sf):
+    k = F.col("p_partkey")
+    rules = table(spark, sf, "part").select(k.alias("rule_id"), k.alias("row_index"), F.lit("s").alias("section"), F.lit("").alias("subsection"), F.when(k % 4 == 0, "Orign").otherwise(F.col("p_name")).alias("item"), F.lit("PRINT <it>").alias("instruction"), *(F.lit(None).cast("string").alias(c) for c in ("example", "if_missing", "if_unknown")), F.lit("text").alias("expected_kind"), F.array().cast("array<string>").alias("expected_options"), F.array().cast("array<string>").alias("part_labels"))
+    mended = providers.repair_rules(rules, R.issues(rules), lambda asked: [{**{c: a[c] for c in providers.REPAIRABLE}, "item": a["item"].replace("Orign", "Origin")} for a in asked])
+    return mended.select(F.col("rule_id").alias("p_partkey"), "item", F.col("original.item").alias("was"), "rule_type")
+
+
+@query(f"""SELECT doc_id, CASE WHEN k % 3 = 0 THEN b ELSE 'old' END AS key, CASE WHEN k % 3 = 2 THEN 'old section' ELSE 'new section' END AS section FROM {NAMES.sql}""")
+def fields_named_by_model(spark, sf):
+    """A model names sections and keys; a key counts where it stands on the page, and an answer where its kind is known."""
+    n = NAMES(spark, sf)
+    fields = n.select("doc_id", F.lit(0).alias("field_ord"), F.lit(1).alias("page"), F.lit("text").alias("kind"), F.lit("old section").alias("section"), F.lit("").alias("subsection"), F.lit("old").alias("key"), F.concat_ws("|", F.col("k").cast("string"), "b").alias("value_text"))
+    lines = n.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("line_ord"), F.concat(F.lit("the "), "b", F.lit(" line")).alias("text"))
+
+    def provider(asked: list[dict]) -> list:
+        out = []
+        for a in asked:
+            k, b = a["value_text"].split("|")
+            out.append({"kind": "text" if int(k) % 3 < 2 else "number", "section": "new section", "subsection": "", "key": b if int(k) % 3 == 0 else "not on the page"})
+        return out
+
+    return providers.reconstruct(fields, providers.page_texts(lines), provider).select("doc_id", "key", "section")
+
+
+@query(f"""SELECT doc_id, CASE WHEN k % 2 = 0 THEN 'Yes=SI/selected|No=NO/unselected' ELSE 'Yes=/|No=NO/unselected' END AS aligned, CASE WHEN k % 3 = 0 THEN b ELSE 'KEY' END AS key FROM {NAMES.sql}""")
+def options_and_keys_by_model(spark, sf):
+    """Options that no label fits, and the key of a checkbox group: a model's answer counts if it is a label held, or a text printed nearby that is no option."""
+    n = NAMES(spark, sf)
+    pair = lambda o, x, s: F.struct(F.lit(o).alias("option"), F.lit(x).cast("string").alias("label"), F.lit(s).cast("string").alias("state"))
+    held = lambda x, s: F.struct(F.lit(x).alias("label"), F.lit(s).alias("state"))
+    rows = n.select("doc_id", F.lit("r").alias("rule_id"), F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("item"), F.array(pair("Yes", None, None), pair("No", "NO", "unselected")).alias("aligned"), F.array(held("SI", "selected"), held("NO", "unselected")).alias("held"))
+    aligned = providers.align_with_model(rows, lambda asked: [{"Yes": "SI" if a["item"] == "a" else "NO"} for a in asked])
+    shown = F.array_join(F.transform("aligned", lambda a: F.concat(a["option"], F.lit("="), F.coalesce(a["label"], F.lit("")), F.lit("/"), F.coalesce(a["state"], F.lit("")))), "|")
+    child = F.struct(F.lit("SI").alias("label"))
+    fields = n.select("doc_id", F.lit(0).alias("field_ord"), F.lit("checkbox_group").alias("kind"), F.lit("KEY").alias("key"), F.array(child).alias("children"))
+    near = n.select("doc_id", F.lit(0).alias("field_ord"), F.when(F.col("k") % 3 == 0, F.array("b", F.lit("SI"))).when(F.col("k") % 3 == 1, F.array(F.lit("SI"), F.col("b"))).otherwise(F.array(F.lit("elsewhere"))).alias("texts"))
+    named = providers.repair_keys(fields, near, lambda asked: [a["texts"][0] if a["texts"][0] != "elsewhere" else "made up" for a in asked])
+    return aligned.select("doc_id", shown.alias("aligned")).join(named.select("doc_id", "key"), "doc_id")
+
+
+@query(f"""SELECT doc_id, 'r' AS rule_id, CASE k % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'unsure' END AS verdict, CASE WHEN k % 5 = 0 THEN 'if unknown' ELSE '' END AS reason FROM {NAMES.sql}""")
+def verdicts_by_model(spark, sf):
+    n, k = NAMES(spark, sf), F.col("k")
+    bound = n.select("doc_id", F.lit("r").alias("rule_id"), F.concat_ws(":", F.lit("item"), k.cast("string")).alias("item"), F.lit("text").alias("kind"), F.lit("PRINT <it>").alias("instruction"), F.lit("if  unknown").alias("if_unknown"), F.when(k % 5 == 0, "UNKNOWN").otherwise(F.col("a")).alias("value"), F.lit(None).cast("string").alias("example"), F.lit(None).cast("string").alias("max_chars"))
+    said = ("Pass", "UNSURE", "perhaps")
+    return providers.instruction_verdicts(bound, lambda asked: [{"verdict": said[int(a["item"].split(":")[1]) % 3], "reason": a["if_unknown"]} for a in asked], calls=3)
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, 'r' || (1000000 + o_orderkey) AS rule_id, 'NAME ' || o_orderstatus AS finding FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) <= 200""")
+def pairs_seen_by_model(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("r"), (k + 1000000).cast("string")).alias("rule_id"), F.lit("name").alias("item"), F.col("o_orderstatus").alias("di_value"), (k % 2 == 0).alias("matched"))
+    return providers.pair_findings(rows, lambda asked: [f"{a['item']} {a['di_value']}" if a["di_value"] != "P" else None for a in asked])

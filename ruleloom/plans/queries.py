@@ -86,9 +86,9 @@ def date_patterns(spark, sf):
     return shown.select("o_orderkey", dates.infer_pattern(F.lit(""), "shown", F.lit("")).alias("pattern"), dates.matches_pattern("shown", F.lit("MM/DD/YYYY")).alias("numeric_ok"), dates.looks_like_date("shown").alias("looks_like_date"))
 
 
-@query(f"""SELECT o_orderkey, regexp_extract_all(shown, '({MONTHS_SQL})\\s+\\d{{1,2}},\\s+\\d{{4}}|({MONTHS_SQL})\\s+\\d{{1,2}}\\s+\\d{{4}}|\\d{{2}}/\\d{{2}}/\\d{{4}}')[1] AS first_date FROM {DATE_SQL}""")
+@query(f"""SELECT o_orderkey, array_to_string(regexp_extract_all(shown || ' and 01/02/2003', '({MONTHS_SQL})\\s+\\d{{1,2}},\\s+\\d{{4}}|({MONTHS_SQL})\\s+\\d{{1,2}}\\s+\\d{{4}}|\\d{{2}}/\\d{{2}}/\\d{{4}}'), '|') AS dates FROM {DATE_SQL}""")
 def extract_dates(spark, sf):
-    return _shown_dates(spark, sf).select("o_orderkey", F.get(dates.extract("shown"), F.lit(0)).alias("first_date"))
+    return _shown_dates(spark, sf).select("o_orderkey", F.array_join(dates.extract(F.concat("shown", F.lit(" and 01/02/2003"))), "|").alias("dates"))
 
 
 HOLLOW_SQL = """(SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Unknown, UNKNOWN' WHEN 2 THEN 'N/A' WHEN 3 THEN '99999' WHEN 4 THEN 'UNKNOWN street' ELSE o_orderpriority END AS v FROM orders)"""
@@ -144,14 +144,6 @@ def box_algebra(spark, sf):
     return l.select("l_orderkey", "l_linenumber", geometry.overlap_ratio(a, b).alias("covered"), geometry.center_inside(a, b).alias("inside"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_type FROM part), t AS (SELECT x.p_type AS a, y.p_type AS b, string_split(x.p_type, ' ') AS u, string_split(y.p_type, ' ') AS v FROM p x JOIN p y ON x.p_type < y.p_type)
-SELECT a, b FROM t WHERE len(list_filter(u, lambda w: NOT list_contains(v, w))) = 0 OR len(list_filter(v, lambda w: NOT list_contains(u, w))) = 0""")
-def word_sets_that_hold_one_another(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_type").alias("a")).distinct()
-    pairs = p.join(p.select(F.col("a").alias("b")), F.col("a") < F.col("b"))  # types are a fixed vocabulary
-    return fuzzy.with_scores(pairs, "a", "b", "score").filter("score = 100").select("a", "b")
-
-
 @query()
 def similarity_metrics(spark, sf):
     n = table(spark, sf, "nation").select("n_regionkey", F.col("n_name").alias("a"))
@@ -185,11 +177,6 @@ def parsed_rules(spark, sf):
     return rules.select("rule_id", "row_index", "section", "item", "expected_kind", F.array_join("expected_options", "|").alias("options"), F.array_join("part_labels", "|").alias("parts"), "rule_type")
 
 
-@query("SELECT 'S' AS sheet, 'Attachment' || chr(10) || 'Section Item Name and Number Printing Instructions Example Max. Chars.' AS head")
-def sheet_text(spark, sf):
-    return R.sheet_text(_cells(spark)).select("sheet", F.array_join(F.slice(F.split("sheet_text", "\n"), 1, 2), "\n").alias("head"))
-
-
 FILL_SQL = """(SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN event_type END AS s, CASE WHEN event_id % 3 = 0 THEN 'sub ' || (event_id % 4) END AS u FROM events)"""
 
 
@@ -319,13 +306,6 @@ def boxes_on_row(spark, sf):
     return checkboxes.boxes_on_row(anchors, kv, ["k"]).select(F.explode("boxes").alias("o")).select("o.label", "o.state")
 
 
-@query("""SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate + INTERVAL 30 DAY AND o_orderdate < l_shipdate""")
-def interval_overlap(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")  # noqa: E741
-    return o.join(l, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") < F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")) & (F.col("o_orderdate") < F.col("l_shipdate"))).select("o_orderkey", "l_linenumber")
-
-
 @query("SELECT * FROM (VALUES (1, 'Times', 'true'), (2, NULL, NULL)) t(value_id, font_family, is_bold)")
 def styles_of_values(spark, sf):
     v = spark.createDataFrame([("d", 1, 0, 5), ("d", 2, 9, 12)], "doc_id string, value_id int, start int, stop int")
@@ -414,12 +394,6 @@ def status_counts(spark, sf):
     return outcome.status_counts(rows, ["l_returnflag"])
 
 
-@query("SELECT text_md5, n_sources FROM (SELECT md5(text) AS text_md5, count(DISTINCT source) AS n_sources FROM documents GROUP BY text) WHERE n_sources > 1")
-def repeated_texts(spark, sf):
-    d = table(spark, sf, "documents").select(F.md5("text").alias("text_md5"), "source")
-    return d.groupBy("text_md5").agg(F.countDistinct("source").alias("n_sources")).filter("n_sources > 1")
-
-
 @query("SELECT doc_id FROM (SELECT doc_id, md5(upper(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS t, CAST(substr(source, 4) AS INT) AS page FROM documents) QUALIFY min(page) OVER (PARTITION BY t) < max(page) OVER (PARTITION BY t)")
 def boilerplate_fields(spark, sf):
     d = table(spark, sf, "documents")
@@ -467,9 +441,9 @@ def static_text_audit(spark, sf):
     return rows.select("source", n.alias("found"), (F.col("items") - n).alias("missing"), F.when(n > 0, "PASS").otherwise("MISSING_DATA").alias("status"))
 
 
-@query("SELECT md5(html) AS content_md5, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
+@query("SELECT substr(md5(html), 1, 16) AS content_key, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1")
 def content_keys(spark, sf):
-    return table(spark, sf, "pages").groupBy(F.md5("html").alias("content_md5")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+    return table(spark, sf, "pages").groupBy(analysis.content_key("html").alias("content_key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES (0, 'RACE - Check all that apply'), (1, 'RACE'), (2, 'FULL NAME First'), (3, 'FULL NAME')) t(n, label)")
@@ -491,18 +465,6 @@ def suggested_sheets(spark, sf):
     return sheetmatch.suggest(d, sheets)
 
 
-@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
-def event_counts(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("event_type", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 6")
-def top_labels(spark, sf):
-    at = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return table(spark, sf, "part").withColumn("n", at).filter("n <= 6").select("p_partkey", "p_name")
-
-
 @query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) - 1 AS INT) AS order_index FROM orders")
 def reading_order(spark, sf):
     o = table(spark, sf, "orders")

@@ -22,9 +22,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(files)
 
 
+def content_key(value):
+    """What tells one content from another: the first sixteen hex digits of its MD5."""
+    return F.substring(F.md5(value), 1, 16)
+
+
 def parse(texts: DataFrame) -> DataFrame:
     """doc_id, value (JSON text) -> doc_id, content_key and the analysis' columns."""
-    parsed = texts.select("doc_id", F.substring(F.md5("value"), 1, 16).alias("content_key"), F.from_json("value", ANALYSIS).alias("a"))
+    parsed = texts.select("doc_id", content_key("value").alias("content_key"), F.from_json("value", ANALYSIS).alias("a"))
     return parsed.select("doc_id", "content_key", "a.*")
 
 
