@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pairs of texts longer than this together are not remembered, so that a worker's cache stays within some MB.
+REMEMBERED_LENGTH = 200
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one bit for each character of a."""
     masks: dict[str, int] = {}
@@ -40,9 +44,12 @@ def token_sort(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-@lru_cache(maxsize=50_000)
 def token_set(a: str, b: str) -> float:
-    """Compares what both word sets share with what each has besides; 0 if either is empty."""
+    """Compares what both word sets share with what each has besides; 0 if either is empty. Scores of short texts are remembered."""
+    return _short_token_set(a, b) if len(a) + len(b) <= REMEMBERED_LENGTH else _token_set(a, b)
+
+
+def _token_set(a: str, b: str) -> float:
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
@@ -58,7 +65,9 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=50_000)
+_short_token_set = lru_cache(maxsize=50_000)(_token_set)
+
+
 def sequence(a: str, b: str) -> float:
     """The longest-matching-block ratio; the order of its arguments matters."""
     return 100.0 * SequenceMatcher(None, a, b).ratio()

@@ -8,6 +8,7 @@ group's pairs in one task, which for a document or a sheet is little; the second
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +22,7 @@ from ..lookups import (
     ACCEPT_FLOOR, KIND_PENALTY, LABEL_FLOOR, MONTHS, PART_FLOOR, PART_LINE, PLACEHOLDER_PENALTY, SECTION_BONUS, SECTION_PENALTY, SEQUENCE_FLOOR, SEQUENCE_SPAN, SEQUENCE_WEIGHTS, SUBSECTION_BONUS, SUBSECTION_PENALTY, VALUE_CAP, VALUE_DISCOUNT,
 )
 from ..session import checkpointed
+from .grouped import by_group
 
 Order = list[tuple[str, bool]]  # column, ascending
 
@@ -250,13 +252,12 @@ def key_matches(labels: DataFrame, kv_pairs: DataFrame) -> DataFrame:
     score = F.col("raw") + party + plausible - F.when(is_placeholder("v"), 6.0).otherwise(0.0) - 0.01 * F.length("k")
     out = best.select("doc_id", "rule_id", "rule_ord", "kv_ord", score.alias("score"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[dict]:
         used, kept = set(), []
-        for _, mine in rows.sort_values(["rule_ord", "kv_ord"], kind="stable").groupby("rule_ord", sort=True):
-            now = [(s - (USED_PENALTY if k in used else 0.0), -k, i) for s, k, i in zip(mine["score"], mine["kv_ord"], mine.index, strict=True)]
-            value, k, i = max(now)
-            used.add(-k)
-            kept.append((i, value))
-        return rows.loc[[i for i, _ in kept]].assign(score=[v for _, v in kept])
-
-    return out.groupBy("doc_id").applyInPandas(run, out.schema).select("doc_id", "rule_id", "kv_ord", "score")
+        for _, mine in groupby(rows, key=lambda x: x["rule_ord"]):
+            best = max(({**x, "score": x["score"] - (USED_PENALTY if x["kv_ord"] in used else 0.0)} for x in mine), key=lambda x: (x["score"], -x["kv_ord"]))
+            used.add(best["kv_ord"])
+            kept.append(best)
+        return kept
+
+    return by_group(out, ["doc_id"], ["rule_ord", "kv_ord"], run, out.schema).select("doc_id", "rule_id", "kv_ord", "score")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.geometry import center_x, center_y
 from ..functions.text import clean, words
@@ -13,6 +13,7 @@ from ..lookups import (
     BAND_HEIGHT, BAND_RIGHT, BAND_SLACK, COLUMN_SHIFT, COLUMN_STEP, COMPOSITE_ROW, GLYPHS, HEADER_HEIGHT, HEADER_WIDTH, HEADER_WORDS, LABEL_ABOVE, PART_WORDS, ROW_GAP, SAME_ROW, TIER_SPREAD,
 )
 from ..schemas import BOX
+from .grouped import by_group
 
 PAGE = ["doc_id", "page"]
 
@@ -90,9 +91,8 @@ def key_labels(items: DataFrame, lines: DataFrame, key: str) -> DataFrame:
 def checkbox_clusters(boxes: DataFrame) -> DataFrame:
     """Adds cluster, the least kv_ord of the boxes that hang together: side by side in a row, or one above the other in a column. boxes: doc_id, page, kv_ord, bbox."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("kv_ord")
-        boxes = [(b["x0"], b["x1"], (b["y0"] + b["y1"]) / 2) for b in rows["bbox"]]
+    def run(rows: list[dict]) -> list[dict]:
+        boxes = [(b["x0"], b["x1"], (b["y0"] + b["y1"]) / 2) for b in (r["bbox"] for r in rows)]
         # only boxes of nearly one height can hang together, so each looks back over those
         order = sorted(range(len(boxes)), key=lambda i: boxes[i][2])
         root = list(range(len(boxes)))
@@ -114,11 +114,9 @@ def checkbox_clusters(boxes: DataFrame) -> DataFrame:
                 if side or stacked:
                     a, b = top(i), top(j)
                     root[max(a, b)] = min(a, b)
-        ords = rows["kv_ord"].tolist()
-        return rows.assign(cluster=[ords[top(i)] for i in range(len(ords))])
+        return [{**r, "cluster": rows[top(i)]["kv_ord"]} for i, r in enumerate(rows)]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema) + ", cluster int"
-    return boxes.groupBy(*PAGE).applyInPandas(run, schema)
+    return by_group(boxes, PAGE, ["kv_ord"], run, StructType([*boxes.schema.fields, StructField("cluster", IntegerType())]))
 
 
 def union_box(b: str) -> Column:
