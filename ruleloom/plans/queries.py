@@ -1,7 +1,7 @@
 """One query for each operator, over the tables of a scale folder, with the DuckDB SQL that gives the same rows.
 
-The tables hold no forms, so rule-like and field-like rows are derived from them by fixed expressions, or are the small
-literal pages of CASES, in the query and in the SQL alike.
+The tables hold no forms, so rule-like and field-like rows are derived from them by fixed expressions, here and, for most
+operators, in derived.py; or they are small literal pages, which are unit tests rather than measures of anything.
 """
 
 from __future__ import annotations
@@ -245,8 +245,9 @@ BANDS_SQL = "(VALUES (1, 'LOW', 0.0, 20.0, 0), (2, 'MIDDLE', 15.0, 60.0, 0), (3,
 @query(f"""SELECT event_id, arg_min(t, struct_pack(d := abs(value - (y0 + y1) / 2), o := o)) FILTER (tier = 0) AS section, arg_min(t, struct_pack(d := abs(value - (y0 + y1) / 2), o := o)) FILTER (tier = 1) AS subsection
 FROM events LEFT JOIN {BANDS_SQL} ON value BETWEEN y0 - 0.005 AND y1 + 0.005 GROUP BY event_id""")
 def sections_by_nearest_band(spark, sf):
-    items = table(spark, sf, "events").select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), "event_id", F.col("value").alias("cy"))
-    bands = spark.createDataFrame([("d", 1, i, t, a, b, k) for i, (t, a, b, k) in enumerate(BANDS, 1)], "doc_id string, page int, band_ord int, text string, y0 double, y1 double, tier int")
+    items = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "event_id", F.col("value").alias("cy"))
+    each = F.array(*(F.struct(F.lit(i).alias("band_ord"), F.lit(t).alias("text"), F.lit(a).alias("y0"), F.lit(b).alias("y1"), F.lit(k).alias("tier")) for i, (t, a, b, k) in enumerate(BANDS, 1)))
+    bands = items.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(each).alias("b")).select("doc_id", "page", "b.*")
     return layout.sections_of(items, bands, "event_id").select("event_id", "section", "subsection")
 
 
@@ -344,8 +345,9 @@ def candidate_scores(spark, sf):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unused_fields(spark, sf):
-    d = table(spark, sf, "documents").select(F.lit("x").alias("doc_id"), F.col("doc_id").alias("field_ord"))
-    bound = table(spark, sf, "labels").select(F.lit("x").alias("doc_id"), F.array("doc_id").alias("members"))
+    form = (F.col("doc_id") % 1000).alias("doc_id")
+    d = table(spark, sf, "documents").select(form, F.col("doc_id").alias("field_ord"))
+    bound = table(spark, sf, "labels").select(form, F.array("doc_id").alias("members"))
     return assign.unused_fields(d, bound).select(F.col("field_ord").alias("doc_id"))
 
 
@@ -397,7 +399,8 @@ def status_counts(spark, sf):
 @query("SELECT doc_id FROM (SELECT doc_id, md5(upper(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS t, CAST(substr(source, 4) AS INT) AS page FROM documents) QUALIFY min(page) OVER (PARTITION BY t) < max(page) OVER (PARTITION BY t)")
 def boilerplate_fields(spark, sf):
     d = table(spark, sf, "documents")
-    fields = d.select(F.lit("x").alias("doc_id"), F.col("doc_id").alias("field_ord"), F.substring("source", 4, 9).cast("int").alias("page"), F.col("text").alias("value"), F.lit("").alias("key"), geometry.box(F.lit(0), F.lit(0.5), F.lit(1), F.lit(0.6)).alias("bbox"))
+    form = (F.crc32(text.norm("text")) % 1000).cast("string")  # equal texts are of one form
+    fields = d.select(form.alias("doc_id"), F.col("doc_id").alias("field_ord"), F.substring("source", 4, 9).cast("int").alias("page"), F.col("text").alias("value"), F.lit("").alias("key"), geometry.box(F.lit(0), F.lit(0.5), F.lit(1), F.lit(0.6)).alias("bbox"))
     rules = _rules(spark, {"item": "no such text"}).withColumn("doc_id", F.lit("x"))
     return checks.boilerplate(fields, rules).select(F.col("field_ord").alias("doc_id"))
 
