@@ -8,25 +8,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Short texts that one automaton holds; more are taken in several passes over the long ones.
-AT_ONCE = 50_000
+#: Short texts, and their characters, that one automaton holds, about; more are taken in several passes over the long ones.
+AT_ONCE, CHARS_AT_ONCE = 50_000, 20_000_000
+ROWS_OUT = 20_000
 
 
 def contained(items: DataFrame, texts: DataFrame) -> DataFrame:
     """item_id, doc_id for every item that occurs in a text. items: item_id, needle; texts: doc_id, haystack, both normalised. Empty needles occur nowhere.
 
-    Each pass reads the texts once, against an automaton of at most AT_ONCE needles, so time is linear in the texts and a
-    task's memory bounded.
+    Each pass reads the texts once, against an automaton of some AT_ONCE needles, so time is linear in the texts and a
+    task's memory bounded. Needles are dealt to passes by their hash.
     """
     import ahocorasick
 
     spark = items.sparkSession
     needles = items.filter("coalesce(needle, '') <> ''").select("item_id", "needle")
-    count = needles.count()
+    count, chars = needles.agg(F.count("*"), F.sum(F.length("needle"))).first()
     if not count:
         return items.join(texts.limit(0), F.lit(False)).select("item_id", "doc_id")
-    passes = -(-count // AT_ONCE)
-    numbered = needles.withColumn("pass", F.lit(0)) if passes == 1 else needles.withColumn("pass", F.expr(f"(row_number() over (order by item_id) - 1) div {AT_ONCE}"))
+    passes = max(-(-count // AT_ONCE), -(-chars // CHARS_AT_ONCE))
+    numbered = needles.withColumn("pass", F.pmod(F.xxhash64("needle"), F.lit(passes)))
     out = None
     for k in range(passes):
         held = [(r["item_id"], r["needle"]) for r in numbered.filter(F.col("pass") == k).collect()]
@@ -40,9 +41,14 @@ def contained(items: DataFrame, texts: DataFrame) -> DataFrame:
             for needle, ids in shared.value.items():
                 automaton.add_word(needle, ids)
             automaton.make_automaton()
+            rows: list[tuple] = []
             for batch in batches:
-                rows = {(i, d) for d, t in zip(batch["doc_id"], batch["haystack"], strict=True) if t for _, ids in automaton.iter(t) for i in ids}
-                yield pd.DataFrame(sorted(rows), columns=["item_id", "doc_id"])
+                for d, t in zip(batch["doc_id"], batch["haystack"], strict=True):
+                    rows += [(i, d) for i in sorted({i for _, ids in automaton.iter(t) for i in ids})] if t else []
+                    if len(rows) >= ROWS_OUT:
+                        yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
 
         schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
         part = texts.select("doc_id", "haystack").mapInPandas(run, schema)
