@@ -8,103 +8,170 @@ are counted within salted parts of a length, so that a length that most pieces s
 
 from __future__ import annotations
 
-import re
-import string
+import json
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, tidied, written
 
 CAPACITY = 2048
 LEAST_SALTS = 64
-#: Chunks of text whose ids a worker remembers, and their longest length.
-REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
-#: Characters that Python's and the tokenizer's idea of white space treat differently.
-ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+#: Chunks of text whose ids a worker remembers in each of two generations, and their longest length.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 48
+AT_ONCE = 2_000_000  # bytes of text that are worked on together
+
+# The tokenizer's own description of what makes its ids those of the chunks between ASCII white space.
+PARTS_AT_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+#: Words of these letters alone stay letters when normalised, so that punctuation after them is a token of its own. U+0130 is not among them: it becomes a letter and a mark.
+LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+PARTED = rf"^(?P<core>[{LETTERS}]+)(?P<tail>[!-/:-@\[-`{{-~]*)$"
+
+
+def parts_at_space(vocabulary: str) -> bool:
+    """Whether the file describes a tokenizer that drops white space, so that no token spans it, and parts letters from what follows."""
+    with open(vocabulary, encoding="utf-8") as f:
+        said = json.load(f)
+    first = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    kinds = tuple(n.get("type") for n in (said.get("normalizer") or {}).get("normalizers", ()))
+    dropped = first.get("behavior") == "Removed" and first.get("invert") is True
+    return dropped and first.get("pattern") == {"Regex": PARTS_AT_SPACE} and kinds == NORMALIZERS and said.get("post_processor") is None
 
 
 @lru_cache(maxsize=4)
-def encoder(vocabulary: str):
-    """A function text -> ids as little-endian unsigned 32-bit bytes, exactly those of the tokenizer for the whole text.
+def encoder(vocabulary: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function texts -> all their ids in order, and how many ids each text has; exactly those of the tokenizer for the whole texts.
 
-    No token of the vocabulary spans white space, so ids are those of the chunks between. Chunks not met before are first
-    parted into letters and the punctuation at their end, which the tokenizer parts too, and encoded many at a time.
+    Where the tokenizer drops white space, ids are those of the chunks between, each of which is encoded once for the texts
+    at hand and remembered. Chunks not met before are first parted into letters and the punctuation at their end, which the
+    tokenizer parts too. With any other tokenizer each whole text is encoded.
     """
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    known: dict[str, bytes] = {}
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+
+    def cut(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = values.astype("<u4").tobytes()
+        edges = (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)]
 
-    def ids(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def of_words(words: list[str]) -> list[bytes]:
+        """Of words of LETTERS alone, each of which the tokenizer takes as one."""
+        found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+        return cut(np.asarray(found.ids), np.searchsorted(np.asarray(found.word_ids), np.arange(len(words)), side="right"))
 
-    def encode_each(chunks: list[str]) -> None:
+    def of_chunks(chunks: list[str]) -> list[bytes]:
         found = tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        values = np.asarray(found.ids, "<u4")
         ends = np.cumsum([len(c) + 1 for c in chunks])
-        cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(values)), ends).tolist()
-        at = 0
-        for chunk, end in zip(chunks, cuts, strict=True):
-            known[chunk] = values[at:end].tobytes()
-            at = end
-
-    def learn(chunks: set[str]) -> None:
-        parts = {}
-        for chunk in chunks:
-            core = chunk.rstrip(string.punctuation)
-            parts[chunk] = (core.lower() if core.isascii() else core, chunk[len(core) :]) if core.isalpha() else (chunk, "")
-        if new := [x for x in {x for pair in parts.values() for x in pair} if x and x not in known]:
-            encode_each(new)
-        for chunk, (core, tail) in parts.items():
-            known[chunk] = known[core] + known[tail] if tail else known[core]
-
-    def encode(text: str) -> bytes:
-        if ODD.search(text):
-            return ids(text)
-        if len(known) >= REMEMBERED:
-            known.clear()
-        chunks = text.split()
-        new = set(chunks).difference(known)
-        long = [c for c in new if len(c) > LONGEST_REMEMBERED]
-        if new:
-            learn(new.difference(long))
-            known.update((c, ids(c)) for c in long)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in long:
-            del known[c]
+        return cut(np.asarray(found.ids), np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids)), ends))
+
+    def known(chunks: list[str], is_word: np.ndarray) -> list[bytes]:
+        nonlocal young, old
+        out = list(map(young.get, chunks))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := old.get(chunks[i])) is None:
+                    new.append(i)
+                else:
+                    out[i] = young[chunks[i]] = x
+        for some, learn in (([i for i in new if is_word[i]], of_words), ([i for i in new if not is_word[i]], of_chunks)):
+            if some:
+                for i, x in zip(some, learn([chunks[i] for i in some]), strict=True):
+                    out[i] = x
+                    if len(chunks[i]) <= LONGEST_REMEMBERED:
+                        young[chunks[i]] = x
+        if len(young) > REMEMBERED:
+            young, old = {}, young
         return out
 
-    return encode
+    def gathered(flat: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of flat, whose lengths are size, in the order of place; and their lengths."""
+        lengths = size[place]
+        shift = (np.cumsum(size) - size)[place] - (np.cumsum(lengths) - lengths)
+        return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        named = words.flatten().dictionary_encode()
+        chunks = named.dictionary
+        split = pc.extract_regex(chunks, PARTED)
+        whole = pc.is_null(split)
+        core = pc.if_else(whole, chunks, pc.utf8_lower(pc.struct_field(split, "core")))
+        parts = pa.concat_arrays([core, pc.fill_null(pc.struct_field(split, "tail"), "")]).dictionary_encode()
+        two = np.asarray(parts.indices, np.int64).reshape(2, -1)  # core and tail of each chunk
+        is_word = np.zeros(len(parts.dictionary), bool)
+        is_word[two[0][~np.asarray(whole)]] = True
+        found = known(strings(parts.dictionary), is_word)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, lengths = gathered(np.frombuffer(b"".join(found), "<u4"), size, two.T.reshape(-1))
+        flat, lengths = gathered(flat, lengths.reshape(-1, 2).sum(axis=1), np.asarray(named.indices, np.int64))
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        edges = np.asarray(words.offsets) - words.offsets[0].as_py()
+        return flat, np.diff(before[edges])
+
+    def ids(text: str) -> np.ndarray:
+        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode_whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [ids(t.as_py() or "") for t in texts]
+        return np.concatenate([*found, np.zeros(0, "<u4")]), np.fromiter(map(len, found), np.int64, len(found))
+
+    return encode if parts_at_space(vocabulary) else encode_whole
+
+
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def slices(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Where to cut an array of texts (first, number) so that a slice has some most bytes, or one text."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(sizes):
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right"))
+        end = max(end, at + 1)
+        yield at, end - at
+        at = end
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenises whole texts, ends each with id 0 and cuts those longer than the capacity: doc_id, piece, start, length, ids_crc32 (and ids)."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoder(vocabulary), 4 * capacity
+        encode = encoder(vocabulary)
         for batch in batches:
-            of, rows = [], []
-            for i, text in enumerate(batch["text"]):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    of.append(i)
-                    rows.append((k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b""))
-            piece, start, length, crc, ids = zip(*rows, strict=True) if rows else [()] * 5
-            columns = [batch["doc_id"].take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
+            for first, number in slices(batch["text"]):
+                here = batch.slice(first, number)
+                ids, sizes = encode(here["text"])
+                closed = np.zeros(len(ids) + number, "<u4")  # each document ends with id 0
+                closed[np.arange(len(ids)) + np.repeat(np.arange(number), sizes)] = ids
+                sizes = sizes + 1
+                n = -(-sizes // capacity)
+                of = np.repeat(np.arange(number), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                begin = (np.cumsum(sizes) - sizes)[of] + start
+                parts = [closed[a : a + k].tobytes() for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [here["doc_id"].take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(cut), schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

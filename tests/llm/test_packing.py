@@ -1,16 +1,17 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
+from ruleloom.llm import packing
 from ruleloom.llm.packing import encoder, pack_documents, plan
 from ruleloom.llm.queries import op4_best_fit_packing, table, vocabulary
 
 
 def library(text):
-    import numpy as np
-    from tokenizers import Tokenizer
-
     return np.asarray([*Tokenizer.from_file(vocabulary()).encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -46,12 +47,50 @@ def test_large_items_are_matched():
     assert plan({}) == []
 
 
-def test_chunked_encoding_is_the_tokenizers():
-    rng = random.Random(5)
-    encode = encoder(vocabulary())
-    for _ in range(400):
-        text = "".join(rng.choice("aB'sÉé \t\n \x1c\x85ßΣς<|>12.,漢😀") for _ in range(rng.randrange(14)))
-        assert encode(text) == library(text)[:-1].tobytes()
+def texts_of(seed, n):
+    """Random texts of letters, marks, white space and punctuation from all of Unicode, U+0130 and decomposing letters among them."""
+    rng = random.Random(seed)
+
+    def one():
+        k = rng.random()
+        if k < 0.35:
+            return chr(rng.randrange(32, 127))
+        if k < 0.55:
+            return rng.choice(" \n\t\r\x0b\x0c\u00a0\u3000\x85\x1c'\"<|>.,;!?s$")
+        if k < 0.85:
+            return rng.choice("aB'sÉé漢😀ßΣςİıक़̇Kſŉǰﬁẞ" + chr(rng.randrange(0xA0, 0x600)))
+        return chr(rng.choice([rng.randrange(0x600, 0xD800), rng.randrange(0xE000, 0x110000)]))
+
+    return ["".join(one() for _ in range(rng.randrange(24))) for _ in range(n)]
+
+
+def encoded(texts, path):
+    ids, sizes = encoder(path)(pa.array(texts, pa.string()))
+    ends = np.cumsum(sizes)
+    return [ids[b - n : b].tolist() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunked_encoding_is_the_tokenizers(seed):
+    tokenizer = Tokenizer.from_file(vocabulary())
+    texts = [*texts_of(seed, 8000), "İ?", "KEDİ. EV", "KEDİ EV", "x<|endoftext|>.y", "it's. we'll! 's 't", "", None, "a" * 5000 + ". " + "b" * 60]
+    for t, got in zip(texts, encoded(texts, vocabulary()), strict=True):
+        assert got == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    texts = texts_of(9, 300)
+    encode = encoder.__wrapped__(vocabulary())
+    whole = encoded(texts, vocabulary())
+    assert [encode(pa.array([t]))[0].tolist() for t in texts + texts] == whole + whole
+
+
+def test_a_tokenizer_that_keeps_white_space_gets_whole_texts():
+    path = vocabulary("byte_bpe_50k.json")
+    assert packing.parts_at_space(vocabulary()) and not packing.parts_at_space(path)
+    texts = ["two  words. here", " İ?", "", None]
+    assert encoded(texts, path) == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def check(rows, wanted):
