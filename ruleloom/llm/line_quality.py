@@ -17,10 +17,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Bounds of the training sample: labelled documents, and lines in one of them.
+from .shared import few, small_batches, tidied, written
+
+#: Bounds of the training sample: labelled documents, and lines of all of them.
 SAMPLE_DOCUMENTS = 4000
-SAMPLE_LINES = 2000
+SAMPLE_LINES = 200_000
 ITERATIONS, RATE, RIDGE = 250, 0.08, 1e-3
 AT_ONCE = 1_000_000  # bytes of text whose features are taken together
 
@@ -93,7 +96,11 @@ class Chain:
     scale: np.ndarray
 
     def marginals(self, features: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-        return _forward_backward(((features - self.mean) / self.scale) @ self.weights, self.moves, n_lines)[0]
+        # summed feature by feature: a matrix product's last bits would depend on which lines are at hand together
+        score = np.zeros(len(features))
+        for j, w in enumerate(self.weights):
+            score += (features[:, j] - self.mean[j]) / self.scale[j] * w
+        return _forward_backward(score, self.moves, n_lines)[0]
 
 
 def _forward_backward(score: np.ndarray, moves: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +114,16 @@ def _forward_backward(score: np.ndarray, moves: np.ndarray, n_lines: np.ndarray)
     psi = np.stack([1 / (1 + np.exp(high)), 1 / (1 + np.exp(-high))], axis=1)
     step = np.exp(moves - moves.max())
     ahead, back = np.empty_like(psi), np.ones_like(psi)
+    def moved(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return x[:, :1] * by[0] + x[:, 1:] * by[1]
+
     for t in range(longest):
         at = begin[: active[t]] + t
-        a = psi[at] if t == 0 else psi[at] * (ahead[at - 1] @ step)
+        a = psi[at] if t == 0 else psi[at] * moved(ahead[at - 1], step)
         ahead[at] = a / a.sum(axis=1, keepdims=True)
     for t in range(longest - 2, -1, -1):
         at = begin[: active[t + 1]] + t
-        b = (psi[at + 1] * back[at + 1]) @ step.T
+        b = moved(psi[at + 1] * back[at + 1], step.T)
         back[at] = b / b.sum(axis=1, keepdims=True)
     both = ahead * back
     p = both / both.sum(axis=1, keepdims=True)
@@ -146,6 +156,10 @@ def train(features: np.ndarray, n_lines: np.ndarray, labels: np.ndarray) -> Chai
     return Chain(weights, moves, mean, scale)
 
 
+def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros((0, line_features([b""])[0].shape[1])), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
 def parts(texts: pa.Array) -> Iterator[list[bytes]]:
     """The texts in their order, some million bytes at a time."""
     held, size = [], 0
@@ -164,8 +178,8 @@ def scores_of(chain: Chain, texts: pa.Array) -> np.ndarray:
     for part in parts(texts):
         features, size, n_lines = line_features(part)
         p, weight = chain.marginals(features, n_lines), size + 1  # an empty line weighs as its newline
-        at = np.cumsum(n_lines) - n_lines
-        out.append(np.add.reduceat(p * weight, at) / np.add.reduceat(weight, at))
+        doc = np.repeat(np.arange(len(part)), n_lines)
+        out.append(np.bincount(doc, p * weight, len(part)) / np.bincount(doc, weight, len(part)))  # line by line
     return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
@@ -174,13 +188,22 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCUMENTS) -> Chain:
-    """Fits on at most sample labelled documents outside the held-out third, chosen by a hash of their id. Only the text is a feature. Rows without an id, a label or of more than SAMPLE_LINES lines aren't used; of several labels for an id the least counts."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCUMENTS, lines: int = SAMPLE_LINES) -> Chain:
+    """Fits on labelled documents outside the held-out third, sample of them at most, chosen by a hash of their id, with lines lines in all at most. Only the text is a feature. Rows without an id or a label aren't used, nor is a document with more lines than are left of the bound; of several labels for an id the least counts."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = written(known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label")), "known")
+    chosen = few(known, "id", sample)
     # the sample's size is a parameter, so broadcasting it is bounded
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = written(rows.select("id", "label", "text", F.size(F.split("text", "\n", -1)).alias("lines"), F.sha2("text", 256).alias("sha")), "labelled")
+    left, fitting = lines, []
+    for r in sorted(texts.select("id", "label", "sha", "lines").distinct().collect(), key=lambda r: (r["sha"], r["id"])):  # rows of the sample
+        if r["lines"] <= left:
+            left -= r["lines"]
+            fitting.append((r["id"], r["sha"]))
+    if not fitting:
+        return train(*_nothing())
+    texts = texts.dropDuplicates(["id", "sha"]).join(F.broadcast(docs.sparkSession.createDataFrame(fitting, StructType([StructField("id", docs.schema[id_col].dataType), StructField("sha", StringType())]))), ["id", "sha"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,22 +211,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for part in parts(batch["text"]):
                 features, _, n_lines = line_features(part)
                 rows = np.split(features.astype(np.float32), np.cumsum(n_lines)[:-1])
-                keep = pa.array((n_lines <= SAMPLE_LINES).tolist())
                 here = batch.slice(at, len(part))
                 at += len(part)
-                columns = [here["id"], here["label"], pa.array(n_lines, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["id", "label", "n", "features"])
+                yield pa.RecordBatch.from_arrays([here["id"], here["label"], pa.array(n_lines, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "n", "features"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.mapInArrow(featured, f"id {kind}, label int, n long, features binary").collect()
+    rows = texts.select("id", "label", "text").mapInArrow(tidied(featured), f"id {kind}, label int, n long, features binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["features"])))
-    width = line_features([b""])[0].shape[1]
+    width = _nothing()[0].shape[1]
     features = np.frombuffer(b"".join(bytes(r["features"]) for r in rows), np.float32).reshape(-1, width).astype(float)
     return train(features, np.array([r["n"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64))
 
 
 def quality_scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, held_out, score, predicted. A null text counts as empty, and that is one empty line; a null id is not held out. Other columns aren't read; an empty table gives an empty result."""
+    """One row for each input row: doc_id, held_out, score, predicted. Equal texts have equal scores, whatever rows they lie among. A null text counts as empty, and that is one empty line; a null id is not held out. Other columns aren't read; an empty table gives an empty result."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,15 +234,16 @@ def quality_scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is least or more."""
+    small_batches(docs.sparkSession)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(scores_of(chain, batch.column(where)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -12,6 +12,7 @@ from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,6 +55,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def few(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """Those most rows whose ids have the least hashes (all rows, if they are fewer).
+
+    Rows are first cut down to twice as many by the hash itself, so that no partition sends as many as most to the one task
+    that orders them. rows: cheap to read twice.
+    """
+    share, key = 2 * most / max(rows.count(), 1), F.xxhash64(id_col)
+    near = rows.filter(key < F.lit(int(share * 2.0**64) - 2**63)) if share < 1 else rows
+    return near.orderBy(key, id_col).limit(most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one of our own only where it is unset and everything runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -65,8 +65,43 @@ def test_nulls_empty_and_long_texts(spark, docs, words):
     assert quality_scores(docs([]), chain).collect() == []
 
 
+def test_scores_do_not_depend_on_partitions_or_batches(spark):
+    """Each distinct text has one score under every partitioning, batch size and order, also when scored alone."""
+    docs, labels = (table(spark, "/root/testdata/sf0.001", t) for t in ("documents", "labels"))
+    chain = fit(docs, labels)
+    both = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1_000_000))
+    scores = {}
+    rows = {r.doc_id: r.text for r in both.select("doc_id", "text").collect()}
+    for n, at_once in ((1, "10000"), (7, "3"), (3, "50")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+        for r in quality_scores(both.repartition(n, "doc_id"), chain).collect():
+            scores.setdefault(rows[r.doc_id] or "", set()).add(r.score)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(len(s) == 1 for s in scores.values())
+    assert all(scores_of(chain, pa.array([t]))[0] in s for t, s in list(scores.items())[:60])
+
+
+def test_the_sample_is_bounded_in_lines(spark, docs):
+    df = docs([(k, "good words here\n" * (1 + 40 * (k % 2))) for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    assert fit(df, labels, lines=30).weights.any() == fit(df, labels, lines=0).weights.any() == False  # noqa: E712  only one label fits, or none
+    assert fit(df, labels, lines=2000).weights.any()
+
+
 def test_without_labels_every_score_is_a_half(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     chain = fit(docs([(1, "a b")]), labels)
     assert scores_of(chain, pa.array(["some text", None])).tolist() == [0.5, 0.5]
     assert train(*[np.zeros((0, 3)), np.zeros(0, np.int64), np.zeros(0, np.int64)]).weights.tolist() == [0, 0, 0]
+
+
+def test_few_rows_are_those_of_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from ruleloom.llm.shared import few
+
+    ids = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    want = {r.id for r in ids.orderBy("h").limit(300).collect()}
+    assert {r.id for r in few(spark.range(5000), "id", 300).collect()} == want
+    assert few(spark.range(200), "id", 300).count() == 200
+    assert few(spark.range(0), "id", 300).count() == 0
