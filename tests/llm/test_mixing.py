@@ -67,7 +67,7 @@ def test_budget_named_targets_nulls_and_empty_tables(spark, docs, words):
     nulls = spark.createDataFrame([(1, "a b", None, None), (2, "a c", "en", "s")], "doc_id long, text string, lang string, source string")
     assert {r.doc_id: r.source for r in mix(nulls).collect()} == {1: OTHER, 2: "s"}
     measured = spark.createDataFrame([("s", "en", "topic0", 0)], "source string, lang string, topic string, n_tokens long")
-    assert calibrate(measured, None).probabilities == {("s", "en", "topic0"): 1.0} or calibrate(measured, None).probabilities
+    assert calibrate(measured, None).probabilities == {("s", "en", "topic0"): 1.0}
 
 
 def test_sampled_marginals_meet_targets_within_capacity():
@@ -87,6 +87,43 @@ def test_sampled_marginals_meet_targets_within_capacity():
     assert abs(shares(tokens, clipped, 0)["a"] - 0.3) > 1e-3 or abs(shares(tokens, clipped, 1)["y"] - 0.3) > 1e-3
 
 
+def test_the_mixture_with_its_copies_meets_the_targets(spark):
+    """Shares of the expected copies, of every source, language and topic, against the targets; and the drawn ones near them."""
+    sf = "/root/testdata/sf0.01"
+    rows = op3_mixing(spark, sf).collect()
+    assert all(r.copies in (int(r.expected), int(r.expected) + 1) and r.sampled == (r.copies > 0) for r in rows)
+    for m in mixing.MARGINALS:
+        own, wants, draws = {}, {}, {}
+        for r in rows:
+            own[r[m]] = own.get(r[m], 0) + r.n_tokens
+            wants[r[m]] = wants.get(r[m], 0) + r.n_tokens * r.expected
+            draws[r[m]] = draws.get(r[m], 0) + r.n_tokens * r.copies
+        power = {v: (n / sum(own.values())) ** mixing.FLATTENING for v, n in own.items()}
+        target = {v: p / sum(power.values()) for v, p in power.items()}
+        assert {v: n / sum(wants.values()) for v, n in wants.items()} == pytest.approx(target, abs=1e-6)
+        assert {v: n / sum(draws.values()) for v, n in draws.items()} == pytest.approx(target, abs=0.03)
+
+
+def test_topics_are_those_of_a_second_derivation(spark):
+    """Topics of the whole table from the centres of the same documents in other partitions, one document at a time."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    got, centres = mixing.measure(docs.repartition(5))
+    again = mixing.measure(docs.coalesce(1))[1]
+    assert (centres == again).all()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in got.collect():
+        n, v = mixing.bag(texts[r.doc_id])
+        near = [sum(float(a) * float(b) for a, b in zip(v, c)) for c in centres]
+        assert r.n_tokens == n and near[int(r.topic[5:])] == pytest.approx(max(near), rel=1e-9)
+
+
+def test_clashing_names_long_texts_and_repeats(spark):
+    rows = [(1, "a b c " * 30_000, "en", "s", 1.0, "x", 2), (1, "a b c " * 30_000, "en", "s", 1.0, "x", 2), (2, None, None, None, 0.0, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, DRAWN double, topic_of_text string, cell0 int")
+    kept = keep_sampled(df, budget=10**9, repeat=False)
+    assert kept.columns == df.columns and kept.count() == 3
+
+
 def many_sources(spark):
     rng = random.Random(6)
     return spark.createDataFrame([(f"src{k}", g, f"topic{t}", rng.randrange(5, 50) * (2000 if k == 0 else 1 + k % 7)) for k in range(400) for g in ("en", "de") for t in range(2)], "source string, lang string, topic string, n_tokens long")
@@ -109,7 +146,12 @@ def test_tables_are_raked_as_on_the_driver(spark, docs, words, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_CELLS", 1)
     large = {(r.source, r.lang, r.topic): r for r in calibrate(measured, None).cells.collect()}
     assert {c: r.weight for c, r in large.items()} == pytest.approx(small.factors, rel=1e-3)
-    assert {c: r.probability for c, r in large.items()} == pytest.approx(small.probabilities, abs=1e-3)
+    assert {c: min(1, r.expected) for c, r in large.items()} == pytest.approx(small.probabilities, abs=1e-3)
+    assert {c: r.expected for c, r in large.items()} == pytest.approx(small.expected, rel=2e-3)
+    monkeypatch.setattr(mixing, "MOST_CELLS", 50_000)
+    once = calibrate(measured, None, repeat=False).expected
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1)
+    assert {(r.source, r.lang, r.topic): r.expected for r in calibrate(measured, None, repeat=False).cells.collect()} == pytest.approx(once, abs=1e-3)
     got = mix(df).collect()
     assert len(got) == 52 and sum(a != (r.doc_id, r.source, r.topic, r.sampled) for a, r in zip(before, sorted(got, key=lambda r: r.doc_id), strict=True)) <= 1
     kept = keep_sampled(df)
