@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import norm
+
 
 #: Pairs of texts longer than this together are not remembered, so that a worker's cache stays within some MB.
 REMEMBERED_LENGTH = 200
@@ -95,3 +97,14 @@ def with_scores(rows: DataFrame, a: str, b: str, out: str, name: str = "token_se
     pairs = marked.filter("__fuzzy_known is null").select(F.col(a).alias("__fuzzy_a"), F.col(b).alias("__fuzzy_b")).distinct().withColumn("__fuzzy_score", metric(name)("__fuzzy_a", "__fuzzy_b"))
     joined = marked.join(pairs, (marked["__fuzzy_known"].isNull()) & F.col(a).eqNullSafe(F.col("__fuzzy_a")) & F.col(b).eqNullSafe(F.col("__fuzzy_b")), "left")
     return joined.withColumn(out, F.coalesce("__fuzzy_known", "__fuzzy_score")).drop("__fuzzy_known", "__fuzzy_a", "__fuzzy_b", "__fuzzy_score")
+
+
+CONTAINED = 85.0
+
+
+def with_contained(rows: DataFrame, haystack: str, needle: str, out: str, threshold: float = CONTAINED) -> DataFrame:
+    """Adds whether the needle stands in the haystack, whatever the case and spacing, or the two are as alike as threshold. Nothing contains an empty needle."""
+    h, n = norm(haystack), norm(needle)
+    known = F.when(n == "", 0.0).when(F.contains(h, n), 100.0)
+    scored = with_scores(rows.withColumns({"__haystack": h, "__needle": n}), "__haystack", "__needle", "__alike", known=known)
+    return scored.withColumn(out, F.col("__alike") >= threshold).drop("__haystack", "__needle", "__alike")

@@ -82,6 +82,11 @@ def boxes_on_row(anchors: DataFrame, kv_pairs: DataFrame, key: list[str], most:
     return near.groupBy("doc_id", *key).agg(row.alias("boxes")).filter(F.size("boxes") <= most)
 
 
+def mark_summary(marks: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """How many selection marks there are, and how many speak of "selected". So does "unselected": the count is of marks with a state."""
+    return marks.groupBy(*keys).agg(F.count("*").alias("total_selection_marks"), F.count_if(F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("selected"))).alias("selected_marks"))
+
+
 def normalize_option(text: Column) -> Column:
     """An option written as "label-state", "label:state" or "label state", as (option, selected); without a state it is unselected."""
     t = F.trim(text)

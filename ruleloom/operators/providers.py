@@ -157,3 +157,24 @@ def pair_findings(rows: DataFrame, provider: Provider | None, most: int = PAIR_B
     first = rows.filter("matched").withColumn("n", F.expr("row_number() over (partition by doc_id order by rule_id)")).filter(F.col("n") <= most)
     answered = ask(first.select("doc_id", "rule_id", norm("item").alias("item"), "di_value"), ["doc_id"], provider, "string", batch=most)
     return answered.filter("answer is not null").select("doc_id", "rule_id", F.col("answer").alias("finding"))
+
+
+def recognition_metrics(evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the pictures that a recogniser saw (keys, row0, text, mode, exact_row): all, those with text, those read as checkboxes, and the distinct rows of those that stand beside no rule's row."""
+    lonely = F.count_distinct(F.when(~F.coalesce("exact_row", F.lit(False)), F.col("row0")))
+    return evidence.groupBy(*keys).agg(F.count("*").alias("images_total"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("images_with_text"), F.count_if(F.col("mode") == "structured_checkbox").alias("checkbox_example_images"), lonely.alias("image_only_rows"))
+
+
+ISSUES_AT_ONCE = 50
+
+
+def explained(rows: DataFrame, provider: Provider | None) -> DataFrame:
+    """doc_id, id, explanation: a model's words on each row, null without a provider."""
+    return ask(rows.select("doc_id", "id", "item", "status", "message"), ["doc_id", "id"], provider, "string").select("doc_id", "id", F.col("answer").alias("explanation"))
+
+
+def summarised(issues: DataFrame, provider: Provider | None, most: int = ISSUES_AT_ONCE) -> DataFrame:
+    """doc_id, summary: a model's words on the first most issues (doc_id, issue_ord, issue) of each document."""
+    first = issues.withColumn("n", F.expr("row_number() over (partition by doc_id order by issue_ord)")).filter(F.col("n") <= most)
+    listed = first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "issue"))), lambda x: x["issue"]).alias("issues"))
+    return ask(listed, ["doc_id"], provider, "string").select("doc_id", F.col("answer").alias("summary"))

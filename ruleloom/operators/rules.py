@@ -117,6 +117,21 @@ def column_roles(headers: DataFrame) -> DataFrame:
     return good.unionByName(roles_by_phrase(headers.join(usable, SHEET, "left_anti")))
 
 
+def example_columns(cells: DataFrame) -> DataFrame:
+    """The first column of each sheet whose header names examples, to which pictures anchored there belong: workbook, sheet, col0. Sheets without one have no row."""
+    named = headers(cells).filter(any_contains(F.lower("header"), HEADER_PHRASES["example"]))
+    return named.groupBy(*SHEET).agg(F.min("col0").alias("col0"))
+
+
+PREVIEW_ROWS = 500
+BULKY = ("label_printed", "expected_kind", "part_labels", "part_separators")
+
+
+def preview(rules: DataFrame, most: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rules of a sheet as a reader sees them, without columns of internal use."""
+    return rules.orderBy("sheet", "rule_ord").limit(most).drop(*BULKY)
+
+
 _TAIL = re.compile(r"[-–—]\s*([^-–—]+)$")
 _TOKEN = re.compile(r"<\s*([^>]+?)\s*>")
 _OPENING = re.compile(r"\bformat\s*:", re.IGNORECASE)

@@ -691,3 +691,55 @@ def pairs_seen_by_model(spark, sf):
     k = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("r"), (k + 1000000).cast("string")).alias("rule_id"), F.lit("name").alias("item"), F.col("o_orderstatus").alias("di_value"), (k % 2 == 0).alias("matched"))
     return providers.pair_findings(rows, lambda asked: [f"{a['item']} {a['di_value']}" if a["di_value"] != "P" else None for a in asked])
+
+
+# ------------------------------------------------------------------------------------------------ reports for a reader
+@query(f"WITH RECURSIVE u AS (SELECT upper(a) AS a, upper(b) AS b FROM {NAME_PAIRS}), {token_set_sql('u')} SELECT x.a, x.b, contains(x.b, x.a) OR score >= 85 AS contained FROM {NAME_PAIRS} x JOIN token_set t ON upper(x.a) = t.a AND upper(x.b) = t.b")
+def fuzzy_containment(spark, sf):
+    return fuzzy.with_contained(_name_pairs(spark, sf), "b", "a", "contained")
+
+
+@query("SELECT 'w' AS workbook, n_name AS sheet, 1 + n_nationkey % 3 AS col0 FROM nation WHERE n_nationkey % 4 <> 0")
+def example_columns(spark, sf):
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    heads = [F.struct(F.lit(0).alias("col0"), F.lit("Section").alias("text")), F.struct(F.lit(7).alias("col0"), F.lit("Item, e.g. an example").alias("text")), F.struct((k % 3 + 1).alias("col0"), F.lit(" Example  value").alias("text"))]
+    cells = n.select(F.lit("w").alias("workbook"), F.col("n_name").alias("sheet"), F.explode(F.when(k % 4 == 0, F.array(heads[0])).otherwise(F.array(*heads))).alias("x")).select("workbook", "sheet", F.lit(2).alias("row0"), "x.*")
+    return R.example_columns(cells)
+
+
+@query(f"SELECT sheet, rule_ord, item FROM {RULE_ROWS.sql} ORDER BY sheet, rule_ord LIMIT 500")
+def rules_previewed(spark, sf):
+    """The first 500 rules, which is what a preview is."""
+    return R.preview(RULE_ROWS(spark, sf).withColumn("label_printed", F.lit("x"))).select("sheet", "rule_ord", "item")
+
+
+@query("SELECT l_orderkey, count(*) AS total_selection_marks, count(*) FILTER (l_returnflag <> 'N') AS selected_marks FROM lineitem GROUP BY l_orderkey")
+def selection_marks(spark, sf):
+    l = table(spark, sf, "lineitem").withColumn("text", F.when(F.col("l_returnflag") == "R", ":Selected:").when(F.col("l_returnflag") == "A", ":unselected:"))  # noqa: E741
+    return checkboxes.mark_summary(l, ["l_orderkey"], "text")
+
+
+@query("SELECT s_nationkey, count(*) AS images_total, count(*) FILTER (s_suppkey % 3 <> 0) AS images_with_text, count(*) FILTER (s_suppkey % 2 = 0) AS checkbox_example_images, count(DISTINCT s_suppkey % 5) FILTER (s_suppkey % 4 <> 1) AS image_only_rows FROM supplier GROUP BY s_nationkey")
+def recognition_counts(spark, sf):
+    k = F.col("s_suppkey")
+    seen = table(spark, sf, "supplier").select("s_nationkey", (k % 5).alias("row0"), F.when(k % 3 == 1, "x").when(k % 3 == 2, "y").alias("text"), F.when(k % 2 == 0, "structured_checkbox").otherwise("plain").alias("mode"), (k % 4 == 1).alias("exact_row"))
+    return providers.recognition_metrics(seen, ["s_nationkey"])
+
+
+@query("SELECT c_custkey AS doc_id, c_name AS full_text, 'Name of'  AS key, c_mktsegment || ' line' AS line FROM customer")
+def analysis_dump(spark, sf):
+    dumped = analysis.dump(analysis.parse(JSONS(spark, sf)))
+    path = lambda p: F.trim(F.regexp_replace(F.get_json_object("json", p), " +", " "))
+    return dumped.select("doc_id", path("$.full_text").alias("full_text"), path("$.key_value_pairs[0].key").alias("key"), path("$.lines[1].text").alias("line"))
+
+
+@query("SELECT o_custkey % 20 AS doc_id, least(count(*), 50) || ' from ' || min(o_orderkey) AS summary FROM orders GROUP BY 1")
+def issues_summarised(spark, sf):
+    issues = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("doc_id"), F.col("o_orderkey").alias("issue_ord"), F.col("o_orderkey").cast("string").alias("issue"))
+    return providers.summarised(issues, lambda asked: [f"{len(a['issues'])} from {a['issues'][0]}" for a in asked])
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'CMP-1' AS id, c_mktsegment || ': ' || c_name AS explanation FROM customer")
+def rows_explained(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit("CMP-1").alias("id"), F.col("c_mktsegment").alias("item"), F.lit("FAIL").alias("status"), F.col("c_name").alias("message"))
+    return providers.explained(rows, lambda asked: [f"{a['item']}: {a['message']}" for a in asked])

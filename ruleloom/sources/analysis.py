@@ -59,6 +59,11 @@ def element_counts(analyses: DataFrame) -> DataFrame:
     return analyses.select("doc_id", size(pairs).alias("n_pairs"), F.size(F.filter(pairs, lambda p: F.coalesce(p["is_checkbox"], F.lit(False)))).alias("n_checkboxes"), size(F.coalesce("lines", F.array())).alias("n_lines"), size(F.coalesce("styles", F.array())).alias("n_styles"), F.coalesce("pages", F.lit(0)).alias("n_pages"))
 
 
+def dump(analyses: DataFrame) -> DataFrame:
+    """doc_id and the whole analysis as one JSON text."""
+    return analyses.select("doc_id", F.to_json(F.struct(*(c for c in analyses.columns if c not in ("doc_id", "content_key")))).alias("json"))
+
+
 def longer_text(service: str, native: str):
     """The native text of a file where it is longer than the service's."""
     a, b = F.coalesce(F.col(service), F.lit("")), F.coalesce(F.col(native), F.lit(""))
