@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import few, tidied, written
 
 NEAREST = 20
 QUERY_STEP = 20
@@ -100,10 +100,12 @@ class Lists:
         ids, dist = self.near(self.lift(x, False), COPIES)
         return np.where(dist <= BOUNDARY * dist[:, :1] + 1e-12, ids, -1)
 
-    def visits_of(self, x: np.ndarray) -> np.ndarray:
-        """The lists that each query visits; -1 beyond the ratio."""
+    def visits_of(self, x: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """The lists that each query visits; -1 beyond the ratio, unless the nearer ones hold fewer than least candidates (a candidate is in COPIES lists at most)."""
         ids, dist = self.near(self.lift(x, True), len(self.centres), self.ratio)
-        return np.where(dist <= self.ratio * dist[:, :1] + 1e-12, ids, -1)
+        held = np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0)
+        before = np.cumsum(held, axis=1) - held
+        return np.where((dist <= self.ratio * dist[:, :1] + 1e-12) | (before < COPIES * least), ids, -1)
 
 
 def _balanced_centres(x: np.ndarray, n: int) -> np.ndarray:
@@ -122,19 +124,28 @@ def _balanced_centres(x: np.ndarray, n: int) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, n_vectors: int, norm: float) -> Lists:
+def _neighbours(centres: np.ndarray, degree: int) -> np.ndarray:
+    """The nearest other centres of each, nearest first, from some rows of the distance matrix at a time."""
+    squares, n, out = (centres * centres).sum(axis=1), len(centres), []
+    for at in range(0, n, 256):
+        part = centres[at : at + 256]
+        apart = squares[at : at + 256, None] + squares[None, :] - 2 * part @ centres.T
+        apart[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
+        some = np.sort(np.argpartition(apart, degree - 1, axis=1)[:, :degree], axis=1)
+        out.append(np.take_along_axis(some, np.argsort(np.take_along_axis(apart, some, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(out)
+
+
+def fit(sample: np.ndarray, n_vectors: int, norm: float, per_list: int | None = None) -> Lists:
     """Fits centres, graph and ratio on a sample of the candidates."""
     dim = sample.shape[1]
-    n = int(np.clip(n_vectors // PER_LIST, 1, min(MOST_LISTS, max(1, len(sample) // 2))))
+    n = int(np.clip(n_vectors // (per_list or PER_LIST), 1, min(MOST_LISTS, max(1, len(sample) // 2))))
     lists = Lists(np.zeros((1, dim + 1)), np.zeros((1, 1), np.int64), np.zeros(1, np.int64), norm, 1.0)
     if not len(sample):
         return lists
     lifted = lists.lift(sample, False)
     lists.centres = _balanced_centres(lifted, n)
-    squares = (lists.centres * lists.centres).sum(axis=1)
-    apart = squares[:, None] + squares[None, :] - 2 * lists.centres @ lists.centres.T
-    np.fill_diagonal(apart, np.inf)
-    near = np.argsort(apart, axis=1, kind="stable")[:, : max(1, min(DEGREE, n - 1))] if n > 1 else np.zeros((1, 1), np.int64)
+    near = _neighbours(lists.centres, max(1, min(DEGREE, n - 1))) if n > 1 else np.zeros((1, 1), np.int64)
     ring = np.stack([(np.arange(n) + 1) % n, (np.arange(n) - 1) % n], axis=1)  # whatever the neighbours, every centre can be reached
     lists.graph = np.concatenate([near, ring], axis=1)
     lists.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
@@ -160,20 +171,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _spread(vectors: DataFrame, lists: Lists, query: bool) -> DataFrame:
-    """id, e -> list, place (0 for the nearest), id, e: a row for each list that a candidate is in or a query visits."""
+def _spread(vectors: DataFrame, lists: Lists, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """id, e -> list, place (0 for the nearest), id, e: a row for each list that a candidate is in or, with the lists' sizes, a query visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 x = _matrix(part["e"])
-                found = lists.visits_of(x) if query else lists.lists_of(x)
+                found = lists.lists_of(x) if sizes is None else lists.visits_of(x, sizes, least)
                 row, column = np.nonzero(found >= 0)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(found[row, column], pa.int32()), pa.array(column, pa.int32()), part["id"].take(take), part["e"].take(take)], names=["list", "place", "id", "e"])
 
-    return vectors.mapInArrow(run, "list int, place int, id long, e array<double>")
+    return vectors.mapInArrow(tidied(run), "list int, place int, id long, e array<double>")
 
 
 def _search(visits: pa.Table, held: pa.Table, nearest: int) -> pa.Table:
@@ -201,13 +212,14 @@ def _search(visits: pa.Table, held: pa.Table, nearest: int) -> pa.Table:
     return pa.table({"q": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, query_step: int = QUERY_STEP) -> DataFrame:
+def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, query_step: int = QUERY_STEP, per_list: int | None = None) -> DataFrame:
     """The nearest candidates by inner product of every row whose id is divisible by query_step: query_id, rank, vec_id, score.
 
     Ties go to the smaller vec_id; a query with fewer candidates gets all of them. Vectors that are null, zero or hold a
     null or a non-finite component take no part, nor do rows without an id or with another number of components than
     most rows have (the greater of two as frequent). Repeated ids count once, with the least vector. A table without
-    vectors gives an empty result; other columns are not read.
+    vectors gives an empty result; other columns are not read. per_list: how many vectors there are for a list (PER_LIST
+    unless given), up to MOST_LISTS lists; where there is but one, every vector is compared.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e")).filter("id is not null and size(e) > 0")
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
@@ -220,20 +232,23 @@ def search(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     candidates = _without_late_copies(vectors, nearest + 1).select("id", "e")
 
     facts = candidates.agg(F.count("*").alias("n"), F.max(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
-    chosen = candidates.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    chosen = few(candidates.select("id"), "id", SAMPLE)
     sample = candidates.join(chosen, "id", "left_semi").toArrow()  # as many rows as the sample's bound
     order = np.argsort(np.asarray(sample["id"]), kind="stable")
-    lists = fit(_matrix(sample["e"].combine_chunks())[order] if len(order) else np.zeros((0, 1)), facts["n"], float(np.sqrt(facts["most"] or 0.0)))
-
-    postings = written(_spread(candidates, lists, False), "postings")
-    chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    chunks = F.broadcast(written(chunks, "chunks"))  # a row for each list, of which there are MOST_LISTS at most
+    lists = fit(_matrix(sample["e"].combine_chunks())[order] if len(order) else np.zeros((0, 1)), facts["n"], float(np.sqrt(facts["most"] or 0.0)), per_list)
+
+    postings = written(_spread(candidates, lists), "postings")
+    counts = written(postings.groupBy("list").agg(F.count("*").alias("n")), "sizes")
+    sizes = np.zeros(len(lists.centres), np.int64)
+    for r in counts.collect():  # a row for each list, of which there are MOST_LISTS at most
+        sizes[r["list"]] = r["n"]
+    chunks = F.broadcast(counts.select("list", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")))
     held = postings.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
 
     asking = vectors.filter(F.col("id") % query_step == 0)
     each = asking.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     distinct = written(asking.join(each.select("id"), "id", "left_semi").select("id", "e"), "queries")
-    visits = written(_spread(distinct, lists, True).join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "visits")
+    visits = written(_spread(distinct, lists, sizes, nearest + 1).join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "visits")
 
     def of_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, nearest + 1)

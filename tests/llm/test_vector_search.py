@@ -72,3 +72,21 @@ def test_graph_search_finds_the_nearest_centres():
     true = np.sqrt(((x[:, None, :] - lists.centres[None]) ** 2).sum(axis=2))
     want = np.sort(true, axis=1)[:, :10]
     assert (np.abs(dist - want) < 1e-6).mean() > 0.9
+
+
+def test_a_query_beside_a_tiny_list_gets_all_its_neighbours(spark, monkeypatch):
+    """The nearest list of the queries holds three vectors, and the ratio is as small as can be; still each query gets 20."""
+    monkeypatch.setattr(vs, "PER_LIST", 50)
+    monkeypatch.setattr(vs, "RECALL", 0.0)
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.array([9.0, 0, 0, 0]) + 0.2 * rng.normal(size=4)).astype(np.float32)) for i in range(1, 600) if i % 20]
+    rows += [(i, (np.array([0, 9.0, 0, 0]) + 0.001 * rng.normal(size=4)).astype(np.float32)) for i in (600, 620, 640)]
+    got = rows_of(vs.search(frame(spark, rows)))
+    assert [sum(g[0] == q for g in got) for q in (600, 620, 640)] == [20, 20, 20]
+
+
+def test_neighbours_of_centres_in_blocks():
+    c = np.random.default_rng(6).normal(size=(700, 5))
+    apart = ((c[:, None] - c[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(apart, np.inf)
+    assert (vs._neighbours(c, 7) == np.argsort(apart, axis=1, kind="stable")[:, :7]).all()
