@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import FLATTENING
 from .secret_scan import ACCESS, ASSIGN, HEX, LEAST, OPAQUE, WIDELY_COPIED_OWNERS
 
 AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -15,17 +16,20 @@ SELECT doc_id,
 FROM (SELECT doc_id, {AZ} AS norm FROM documents)
 """
 
-OP9 = """
+# the URL's host with its labels reversed, its path and query; pages without a capture time have one made of their id
+OP9 = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u, strftime(make_timestamp((1704067200 + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM pages),
+k AS (SELECT *, CASE WHEN url IS NULL THEN 'urn:page:' || page_id WHEN u.host = '' THEN url ELSE array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query END AS url_key FROM p)
 SELECT page_id,
        CAST(strlen(payload) AS BIGINT) AS payload_bytes,
        sha1(payload) AS payload_digest,
        CASE WHEN strlen(payload) >= 1000 AND page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(payload) >= 1000 AND page_id <> response_id THEN response_id END AS refers_to
-FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id FROM pages)
+       CASE WHEN strlen(payload) >= 1000 AND page_id <> response_id THEN response_id END AS refers_to,
+       url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) AS history_rank
+FROM k
 """
 
 
-
 def _matches(order: int, kind: str, pattern: str, group: int) -> str:
     p = pattern.replace("\\x20", " ").replace("'", "''")
     return f"SELECT rid, owner, {order} AS ko, '{kind}' AS kind, {LEAST[kind]} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"
@@ -90,4 +94,18 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_dedup": OP2, "op6_exact_dedup": OP6, "op7_minhash_near_dedup": OP7, "op8_vector_search": OP8, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10}
+MARGINALS = f"""
+WITH d AS (SELECT coalesce(source, '(other)') AS source, coalesce(lang, '(other)') AS lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM documents),
+m AS (SELECT 'source' AS marginal, source AS value, sum(n) AS n FROM d GROUP BY ALL UNION ALL SELECT 'lang', lang, sum(n) FROM d GROUP BY ALL),
+p AS (SELECT *, pow(n / sum(n) OVER (PARTITION BY marginal), {FLATTENING}) AS w FROM m)
+SELECT marginal, value, CAST(n AS BIGINT) AS n_tokens, round(w / sum(w) OVER (PARTITION BY marginal), 6) AS share FROM p
+"""
+
+INVARIANTS = "SELECT DISTINCT doc_id, TRUE AS whole, TRUE AS gapless FROM documents"
+
+RECALL = """
+WITH v AS (SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT CAST(sum(least(20, (SELECT count(*) FROM v) - 1)) AS BIGINT) AS neighbours, TRUE AS recalled FROM v WHERE vec_id % 20 = 0
+"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1, "op2_line_dedup": OP2, "op6_exact_dedup": OP6, "op7_minhash_near_dedup": OP7, "op8_vector_search": OP8, "op9_warc_index_merge": OP9, "op10_substring_dedup": OP10, "mixing_marginals": MARGINALS, "packing_invariants": INVARIANTS, "vector_search_recall": RECALL}

@@ -1,33 +1,37 @@
 """WARC archives: writing, reading back, and merging per-archive indexes into one capture history.
 
-Records are written by Spark's own text sink with the record terminator as line separator, so that its commit protocol
-covers failed tasks. Each archive read back gives a run: its captures sorted by URL key and time. The runs are cut into
-key ranges, and each range merges its slices of all runs with a loser tree.
+Each record is a gzip member of its own, so that a reader can start at any offset of the index. Spark's own text sink
+writes the members, with an empty member as line separator, so that its commit protocol covers failed tasks. Each archive
+read back gives a run: its captures sorted by URL key and time. The runs are cut into key ranges of bounded size, and each
+range merges its slices of all runs with a loser tree.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import new_path, small_batches, tidied, written
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+
 REVISIT_LEAST_BYTES = 1000
 FIRST_SECOND = 1704067200  # 2024-01-01; a page without a capture time is placed this far on plus its id
 RECORDS_PER_FILE = 20_000
-READ_AT_ONCE = 64
+RANGE_ROWS = 50_000  # captures that a task merges, about
+LEVEL = 6  # of compression
 
 
 def decide(pages: DataFrame, id_col: str, url_col: str, html_col: str, time_col: str | None) -> DataFrame:
@@ -68,37 +72,68 @@ def record(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, F.lit(END), block).alias("value"))
 
 
+def members(records: DataFrame) -> DataFrame:
+    """value: each record, closed by its terminator, as the bytes of a gzip member. The text sink writes strings byte by byte, so these stand in a column of strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for value in batch["value"]:
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                packed.append(pack.compress(value.as_py().encode() + END.encode()) + pack.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+    small_batches(records.sparkSession)
+    return records.mapInArrow(tidied(run), "value binary").select(F.col("value").cast("string").alias("value"))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes a WARC record for each row into gzip archives below path.
+    """Writes a WARC record for each row into archives below path, each record as a gzip member. An archive holds the records of one task, per_file at most.
 
     A null payload is empty. A null URL becomes urn:page:<id>; white space and control characters in a URL become %20.
     Of equal payloads of 1000 bytes or more, rows with the largest id are responses and the others revisit it, so that
-    repeated rows with that id are all responses. Payloads below that are all responses.
+    repeated rows with that id are all responses. Payloads below that are all responses. Rows with one id have one record
+    id, too.
     """
-    records = record(decide(pages, id_col, url_col, html_col, time_col))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-
-
-def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """The records of one archive: offset in the uncompressed stream, headers with lower-case names, block. Raises ValueError where the bytes are not WARC."""
-    at = 0
-    while first := stream.readline():
-        if first.strip() == b"":
-            at += len(first)
-            continue
-        if not first.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        headers, here = {}, len(first)
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            here += len(line)
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[key.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        block = stream.read(size)
-        if len(block) != size:
-            raise ValueError(f"record at {at} is cut short")
-        yield at, headers, block
-        at += here + 2 + size
+    records = members(record(decide(pages, id_col, url_col, html_col, time_col)))
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("ISO-8859-1")).option("maxRecordsPerFile", per_file).text(path)
+
+
+def read_member(archive: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member that starts at that byte of an archive, and where the next one starts."""
+    unpack, content, end, step = zlib.decompressobj(31), [], at, 1 << 14
+    try:
+        while not unpack.eof and end < len(archive):
+            content.append(unpack.decompress(archive[end : end + step]))
+            end, step = end + step, min(2 * step, 1 << 20)
+    except zlib.error as error:
+        raise ValueError(f"no gzip member at {at}") from error
+    if not unpack.eof:
+        raise ValueError(f"member at {at} is cut short")
+    return b"".join(content), min(end, len(archive)) - len(unpack.unused_data)
+
+
+def parse_record(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes]:
+    """Headers with lower-case names, and the block. Raises ValueError where the bytes are not one WARC record."""
+    head, _, rest = raw.partition(END.encode())
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    size = int(headers["content-length"])
+    if len(rest) != size + len(END) or rest[size:] != END.encode():
+        raise ValueError(f"record at {at} is cut short")
+    return headers, rest[:size]
+
+
+def read_records(archive: bytes | memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """The records of one archive: offset of the member, headers with lower-case names, block. Raises ValueError where the bytes are not WARC."""
+    at, archive = 0, memoryview(archive)
+    while at < len(archive):
+        content, end = read_member(archive, at)
+        if content:  # an empty member parts two others
+            yield at, *parse_record(content, at)
+        at = end
 
 
 def url_key(url: str) -> str:
@@ -135,9 +170,7 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 rows = []
-                raw = io.BytesIO(content.as_buffer())
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if name.endswith(".gz") else raw
-                for offset, h, block in read_records(stream):
+                for offset, h, block in read_records(content.as_buffer()):
                     http, _, payload = block.partition(END.encode())
                     said = h.get("warc-payload-digest", "").removeprefix("sha1:").lower()
                     if h["warc-type"] == "revisit":
@@ -151,8 +184,8 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=capture_order)
                 yield _batch(rows, RUN_FIELDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(runs, RUN_SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return files.mapInArrow(tidied(runs), RUN_SCHEMA)
 
 
 def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -201,11 +234,12 @@ def loser_tree(runs: list[Iterator[tuple]], key: Callable[[tuple], tuple]) -> It
         winner = run
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Merges the runs of all archives into one order: adds merged_order, which rises by URL key, time and page id over the whole result.
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Merges the runs of all archives into one order: adds history_rank, from 1, which rises by URL key, time and page id over the whole result.
 
     The key ranges end at sampled captures, time and id included, so that one URL or host with very many captures is
-    spread over several ranges too.
+    spread over several ranges too; there are as many as bring range_rows captures into each, so that a task's memory is
+    bounded whatever the corpus. runs: cheap to read twice.
     """
     from pyspark import TaskContext
 
@@ -214,25 +248,29 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 slices.setdefault(row[0], []).append(row)
-        base, out, n = TaskContext.get().partitionId() << 33, [], 0
+        where, out, n = TaskContext.get().partitionId(), [], 0
         for row in loser_tree([iter(slices[r]) for r in sorted(slices)], capture_order):
-            out.append((*row, base + n))
-            n += 1
+            out.append((*row, where, n := n + 1))
             if len(out) == 10_000:
                 yield _batch(out, fields)
                 out = []
         if out:
             yield _batch(out, fields)
 
-    schema, fields = RUN_SCHEMA + ", merged_order long", [*RUN_FIELDS, ("merged_order", pa.int64())]
+    schema, fields = RUN_SCHEMA + ", key_range long, place long", [*RUN_FIELDS, ("key_range", pa.int64()), ("place", pa.int64())]
     order = ["url_key", "captured", F.col("page_id").asc_nulls_last(), "run", "offset"]
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
     # the exchange may mix the blocks of one run; within the range each slice is put back in its run's order
-    ranged = runs.repartitionByRange(*order).sortWithinPartitions("run", *order[:3], "offset")
-    return ranged.mapInArrow(merge, schema)
+    ranged = runs.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order[:3], "offset")
+    merged = written(ranged.mapInArrow(tidied(merge), schema), "history")
+    # a row for each range, so one small partition and a small broadcast
+    sizes = merged.groupBy("key_range").agg(F.count("*").alias("n"))
+    before = sizes.select("key_range", F.coalesce(F.sum("n").over(Window.orderBy("key_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return merged.join(F.broadcast(before), "key_range").select(*runs.columns, (F.col("before") + F.col("place")).alias("history_rank"))
 
 
 def capture_history(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
-    """Writes the archives below path, reads them back and merges their indexes: a row for each page with page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, archive, offset, merged_order.
+    """Writes the archives below path, reads them back and merges their indexes: a row for each page with page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, archive, offset, history_rank.
 
     See write_archives for nulls, ties and repeated rows; an empty table gives an empty result; other columns aren't read.
     """
@@ -240,7 +278,7 @@ def capture_history(pages: DataFrame, path: str, id_col: str = "page_id", url_co
     runs = written(index_archives(pages.sparkSession, path), "warc-runs")
     kind = pages.schema[id_col].dataType
     return merge_runs(runs).select(
-        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "captured", F.col("run").alias("archive"), "offset", "merged_order"
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "captured", F.col("run").alias("archive"), "offset", "history_rank"
     )
 
 

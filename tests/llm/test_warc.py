@@ -1,11 +1,12 @@
+import gzip
 import hashlib
-import io
 import random
 
 import pytest
 
 from ruleloom.llm.queries import op9_warc_index_merge, table
-from ruleloom.llm.warc import archive_pages, capture_order, loser_tree, read_records, url_key
+from ruleloom.llm.shared import written
+from ruleloom.llm.warc import archive_pages, capture_order, index_archives, loser_tree, merge_runs, parse_record, read_member, read_records, url_key, write_archives
 
 PAGES = "page_id long, url string, html string, offset string, run int"
 
@@ -40,9 +41,32 @@ def test_copies_nulls_terminators_and_order(spark):
     rows = [(1, "http://b.example.com/x", long), (2, "https://a.example.com:80/", long), (3, None, None), (4, "http://a.example.com/\nq", ""), (2**55 + 1, "http://b.example.com/x", long), (6, "http://[bad", "x" * 999), (7, "http://b.example.com/x", "x" * 999)]
     df = archive_pages(pages(spark, rows))
     assert found(df) == brute(rows)
-    got = df.orderBy("merged_order").collect()
+    got = df.orderBy("history_rank").collect()
     assert [(r.url_key, r.captured, r.page_id) for r in got] == sorted((r.url_key, r.captured, r.page_id) for r in got)
-    assert len({r.merged_order for r in got}) == len(rows)
+    assert [r.history_rank for r in got] == list(range(1, len(rows) + 1))
+    # the index's offsets lead to the records themselves
+    for r in got:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            headers, block = parse_record(read_member(memoryview(f.read()), r.offset)[0])
+        assert headers["warc-record-id"] == f"<urn:page:{r.page_id}>" and headers["warc-type"] == r.record_type
+        payload = dict((i, h) for i, _, h in rows)[r.page_id] or ""
+        assert block.partition(b"\r\n\r\n")[2] == (b"" if r.record_type == "revisit" else payload.encode())
+
+
+def test_archives_are_plain_gzip_and_ranges_are_bounded(spark, tmp_path):
+    rows = [(k, f"http://h{k % 3}.example.com/{k % 7}", f"page {k} " * (k % 50)) for k in range(300)]
+    df = pages(spark, rows).repartition(5)
+    write_archives(df, str(tmp_path / "w"), per_file=40)
+    runs = written(index_archives(spark, str(tmp_path / "w")), "runs")
+    files = sorted(tmp_path.glob("w/part-*"))
+    assert len(files) >= 8
+    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC-Type: ") for f in files) == 300
+    want = sorted((url_key(u), i) for i, u, _ in rows)
+    for range_rows in (30, 10**6):
+        got = merge_runs(runs, range_rows).orderBy("history_rank").collect()
+        assert [r.history_rank for r in got] == list(range(1, 301))
+        assert [r.url_key for r in got] == [k for k, _ in want]
+        assert [(r.url_key, r.captured) for r in got] == sorted((r.url_key, r.captured) for r in got)
 
 
 def test_repeated_rows_null_id_and_empty_table(spark):
@@ -64,7 +88,11 @@ def test_keys_and_bad_archives():
     assert url_key("https://M.Example.net:443/en/2?b=1#top") == "net,example,m)/en/2?b=1"
     assert url_key("urn:page:3") == "urn:page:3"
     with pytest.raises(ValueError):
-        list(read_records(io.BytesIO(b"no archive\r\n\r\n")))
+        list(read_records(b"no archive\r\n\r\n"))
     with pytest.raises(ValueError):
-        list(read_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
+        list(read_records(gzip.compress(b"no archive\r\n\r\n")))
+    with pytest.raises(ValueError):
+        list(read_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")[:-9]))
+    with pytest.raises(ValueError):
+        list(read_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))
     assert capture_order(("r", 0, "k", "", "t", None)) > capture_order(("r", 0, "k", "", "t", 5))
