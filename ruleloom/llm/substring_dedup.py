@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .shared import discard, new_path, remove, shuffles_dropped, written
+from .shared import discard, new_path, remove, shuffles_dropped, small_batches, tidied, written
 
 WINDOW = 13
 GRAM = 4
@@ -68,6 +69,10 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) ->
     return _sliding_min(_grams(hashes, gram), window - gram + 1) if len(hashes) >= window else np.zeros(0, np.uint64)
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text -> doc_id, n_words, sha (of all words joined by a space), fps (distinct fingerprints)."""
 
@@ -81,7 +86,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                 fps.append(np.unique(fingerprints(_hashed(words), window, gram)).view(np.int64) if len(words) >= window else ())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "n_words", "sha", "fps"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, fps array<long>")
+    return docs.mapInArrow(tidied(run), f"doc_id {_kind(docs)}, n_words long, sha binary, fps array<long>")
 
 
 class FingerprintIndex:
@@ -149,7 +154,7 @@ def suspects(rows: DataFrame, window: int, gram: int) -> DataFrame:
             kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "text", "starts", "a", "b"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, starts array<int>, a array<long>, b array<long>")
+    return rows.mapInArrow(tidied(run), f"doc_id {_kind(rows)}, text string, starts array<int>, a array<long>, b array<long>")
 
 
 def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -175,7 +180,15 @@ def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 [batch["doc_id"], pa.array(whole, pa.binary()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), batch["gone"]], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept_text", "gone"]
             )
 
-    return rows.select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, sha binary, n_removed long, kept_sha256 string, kept_text string, gone array<int>")
+    return rows.select("doc_id", "text", "gone").mapInArrow(tidied(run), f"doc_id {_kind(rows)}, sha binary, n_removed long, kept_sha256 string, kept_text string, gone array<int>")
+
+
+def _batches(originals: DataFrame, sketches: DataFrame, batches: int) -> Iterator[DataFrame]:
+    """The rows of originals in parts, by rising ranges of doc_id."""
+    bounds = sorted({int(x) for x in sketches.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = originals if low is None else originals.filter(F.col("doc_id") > low)
+        yield part if high is None else part.filter(F.col("doc_id") <= high)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -184,12 +197,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns one row for each input row: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and
     gone, the starts of the removed windows (null where none goes, or where the document is a whole copy, all of whose
     words go). Windows are judged on the input. A null text has no words; texts shorter than a window keep all of theirs;
-    a null id counts as smaller than any other; rows with one id don't remove each other's words, whether they are
+    ids are whole numbers or texts, and a null id
+    counts as smaller than any other; rows with one id don't remove each other's words, whether they are
     repeated or differ. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    least = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(spark)
+    kind = docs.schema[id_col].dataType
+    whole = isinstance(kind, IntegralType)
+    # a value below all others stands for a null id; other ids than numbers are told from it by a mark before them
+    least = F.lit(-(2**63)) if whole else F.lit("0")
+    key = F.col(id_col).cast("long") if whole else F.concat(F.lit("1"), F.col(id_col).cast("string"))
+    rows = docs.select(F.coalesce(key, least).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = written(sketch(rows, window, gram), "sketches")
 
     # whole copies: all windows of all but those with the smallest id go, and these need not be looked at
@@ -198,10 +217,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     originals = written(marked.filter(~F.col("copy") & (F.size("fps") > 0)).select("doc_id", "fps"), "originals")
 
     index, hot = FingerprintIndex(spark), None
-    bounds = sorted({int(x) for x in sketches.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = originals if low is None else originals.filter(F.col("doc_id") > low)
-        hits = index.add(part if high is None else part.filter(F.col("doc_id") <= high))
+    for part in _batches(originals, sketches, batches if whole else 1):
+        hits = index.add(part)
         hot = hits if hot is None else hot.unionByName(hits)
     index.close()
     hot = written(hot.distinct(), "hot")
@@ -220,10 +237,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = written(cut(suspected.select("row_id", "doc_id", "text").join(per_row, "row_id"), window).drop("kept_text"), "left").dropDuplicates(["doc_id", "sha"])
 
     nothing = hashlib.sha256(b"").hexdigest()
-    kind = docs.schema[id_col].dataType
     out = marked.select("doc_id", "sha", "n_words", "copy").join(left, ["doc_id", "sha"], "left")
     return out.select(
-        F.when(F.col("doc_id") != least, F.col("doc_id")).cast(kind).alias("doc_id"),
+        F.when(F.col("doc_id") != least, F.col("doc_id") if whole else F.expr("substring(doc_id, 2)")).cast(kind).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),

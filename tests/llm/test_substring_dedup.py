@@ -71,3 +71,10 @@ def test_sliding_min(n):
 
 def test_words():
     assert words_of("a\x0b b c\r\nd\x1ce") == [w.encode() for w in WORD.findall("a\x0b b c\r\nd\x1ce")]
+
+
+def test_ids_of_text_and_clashing_names(spark, words):
+    long = " ".join(words(2, 30))
+    df = spark.createDataFrame([("b", f"x {long} y", 1, "p"), ("a", long, 2, "q"), (None, f"{long} z", 3, "r")], "doc_id string, text string, fps int, SHA string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df).collect()}
+    assert got == {None: (31, 0), "a": (30, 30), "b": (32, 30)}
