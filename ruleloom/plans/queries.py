@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, fuzzy, geometry, text, values
-from ..operators import assign, checkboxes, checks, guard, layout, outcome, sheetmatch
+from ..functions import dates, geometry, text, values
+from ..operators import assign, checkboxes, checks, guard, layout, outcome
 from ..operators import rules as R
 from ..operators.containment import contained, diff, nearest
 from ..operators.overlay import label_variants
@@ -144,13 +144,6 @@ def box_algebra(spark, sf):
     return l.select("l_orderkey", "l_linenumber", geometry.overlap_ratio(a, b).alias("covered"), geometry.center_inside(a, b).alias("inside"))
 
 
-@query()
-def similarity_metrics(spark, sf):
-    n = table(spark, sf, "nation").select("n_regionkey", F.col("n_name").alias("a"))
-    pairs = n.join(n.select("n_regionkey", F.col("a").alias("b")), "n_regionkey")
-    return pairs.select("a", "b", *(F.round(fuzzy.metric(m)("a", "b"), 6).alias(m) for m in fuzzy.METRICS))
-
-
 # --------------------------------------------------------------------------------------------------------- rule sheets
 HEAD = ["Section", "Item Name and Number", "Printing Instructions", "Example", "Max. Chars."]
 SHEET_ROWS = [["Attachment"], HEAD, ["ONE", "FEE", "PRINT <Fee>", "50.00", "4"], ["", "STATUS", "place an X in the Yes checkbox and in the No checkbox"], ["TWO", "NAME - First, Last", "FORMAT: <First> + <Last>", "JO LEE"], ["", "DATE", "FORMAT: <month> <dd> comma <yyyy>", "MAY 5, 2020"]]
@@ -461,13 +454,6 @@ def keyed_diff(spark, sf):
     return diff(o.filter(k % 11 != 0), after, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "change")
 
 
-@query()
-def suggested_sheets(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.lit("w").alias("workbook"), F.col("text").alias("full_text"))
-    sheets = spark.createDataFrame([("w", "Marriage License", "WISCONSIN MARRIAGE LICENSE ISSUED BY COUNTY CLERK"), ("w", "The and of", "the and of is in to")], "workbook string, sheet string, sheet_text string")
-    return sheetmatch.suggest(d, sheets)
-
-
 @query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) - 1 AS INT) AS order_index FROM orders")
 def reading_order(spark, sf):
     o = table(spark, sf, "orders")
