@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions.fuzzy import token_set
 from ruleloom.operators import assign
+from ruleloom.plans import derived
 
 RULES = "doc_id string, rule_id string, rule_ord int, item string, label_printed string, section string, subsection string, expected_kind string, rule_type string"
 PRINTED = "doc_id string, field_ord int, key string, value string, section string, subsection string, kind string"
@@ -23,3 +24,13 @@ def test_alike_rules_and_fields_are_scored_once(spark):
     want |= {("d", "s", o): 100.0 for o in range(3)} | {("d", "s", 3): 80.0 - 15.0, ("d", "s", 4): 100.0 - 5.0}
     assert got == want
     assert assign.candidates(r, f).select(F.count("*")).first()[0] == len(want)
+
+
+def test_names_meet_once_however_often_they_occur(spark, tmp_path):
+    copies = spark.range(3000).selectExpr("id AS p_partkey", "concat('name ', id % 3) AS p_name", "'B' AS p_brand", "'TYPE' AS p_type", "1 AS p_size", "1e0 AS p_retailprice")
+    copies.write.parquet(str(tmp_path / "part.parquet"))
+    pairs = derived._name_pairs(spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Join") :].count("Aggregate") == 2  # both sides are distinct before they meet
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(f"name {k}", "TYPE name 0") for k in range(3)]
+    assert sorted((r["a"], r["contained"]) for r in derived.fuzzy_containment(spark, str(tmp_path)).collect()) == [("name 0", True), ("name 1", False), ("name 2", False)]
