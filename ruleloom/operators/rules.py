@@ -274,12 +274,35 @@ def issues(rules: DataFrame) -> DataFrame:
     return rules.withColumn("__blob", blob).select("rule_id", "row_index", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue"))
 
 
+#: Rows of a sheet that one group of the search for the nearest rule takes.
+ROWS_AT_ONCE = 4096
+
+
 def attach_images(rules: DataFrame, images: DataFrame) -> DataFrame:
-    """Each picture's rule: the one of its row, else the one nearest by row, of equals the first. images: sheet, row0, image_ord."""
-    pairs = images.join(rules.select("sheet", "rule_id", "rule_ord", "row_index"), "sheet")
-    gap = F.abs(F.col("row_index") - 1 - F.col("row0"))
-    found = pairs.groupBy("sheet", "row0", "image_ord").agg(F.min_by(F.struct("rule_id", "row_index"), F.struct(gap, F.col("rule_ord"))).alias("r"))
-    return found.select("sheet", "row0", "image_ord", F.col("r.rule_id").alias("rule_id"), (F.col("r.row_index") - 1 == F.col("row0")).alias("exact_row"))
+    """Each picture's rule: the one of its row, else the one nearest by row, of equals the first. images: sheet, row0, image_ord.
+
+    Only the last rule up to a picture's row and the first from it on can be nearest. They are sought among ROWS_AT_ONCE
+    rows of the sheet; what lies beyond comes from the first and last rules of such stretches, so sheets may have any length.
+    """
+    stretch = F.floor(F.col("at") / ROWS_AT_ONCE).alias("stretch")
+    here = F.struct("at", "rule_ord", "rule_id")
+    r = rules.select("sheet", (F.col("row_index") - 1).cast("long").alias("at"), "rule_ord", "rule_id").filter("at is not null").groupBy("sheet", "at").agg(F.min(here).alias("r")).select("sheet", stretch, "at", "r")
+    i = images.select("sheet", F.col("row0").cast("long").alias("at")).filter("at is not null").distinct().select("sheet", stretch, "at", F.lit(None).cast(r.schema["r"].dataType).alias("r"))
+    both = r.unionByName(i)
+
+    def up_to(w) -> Column:
+        return F.last("r", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    within = Window.partitionBy("sheet", "stretch")
+    seen = both.withColumns({"asked": F.col("r").isNull(), "before": up_to(within.orderBy("at")), "after": up_to(within.orderBy(F.col("at").desc()))}).filter("asked")
+    ends = both.groupBy("sheet", "stretch").agg(F.max("r").alias("last"), F.min("r").alias("first"))
+    along = Window.partitionBy("sheet")
+    earlier, later = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("stretch").asc(), F.col("stretch").desc()))
+    beyond = ends.select("sheet", "stretch", F.last("last", True).over(earlier).alias("earlier"), F.last("first", True).over(later).alias("later"))
+    sides = F.array(F.coalesce("before", "earlier"), F.coalesce("after", "later"))
+    gaps = F.transform(F.filter(sides, lambda x: x.isNotNull()), lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("gap"), x["rule_ord"].alias("rule_ord"), x["rule_id"].alias("rule_id")))
+    found = seen.join(beyond, ["sheet", "stretch"]).select("sheet", F.col("at").alias("row0"), F.array_min(gaps).alias("r")).filter("r is not null")
+    return images.select("sheet", "row0", "image_ord").distinct().join(found, ["sheet", "row0"]).select("sheet", "row0", "image_ord", F.col("r.rule_id").alias("rule_id"), (F.col("r.gap") == 0).alias("exact_row"))
 
 
 def append_text(old: Column, new: Column) -> Column:

@@ -1,9 +1,12 @@
 """Work that grows with what is asked for, not with the pairs behind it."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ruleloom.functions.fuzzy import token_set
 from ruleloom.operators import assign
+from ruleloom.operators import rules as R
 from ruleloom.plans import derived
 
 RULES = "doc_id string, rule_id string, rule_ord int, item string, label_printed string, section string, subsection string, expected_kind string, rule_type string"
@@ -34,3 +37,22 @@ def test_names_meet_once_however_often_they_occur(spark, tmp_path):
     assert plan[plan.index("Join") :].count("Aggregate") == 2  # both sides are distinct before they meet
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(f"name {k}", "TYPE name 0") for k in range(3)]
     assert sorted((r["a"], r["contained"]) for r in derived.fuzzy_containment(spark, str(tmp_path)).collect()) == [("name 0", True), ("name 1", False), ("name 2", False)]
+
+
+def test_pictures_find_the_nearest_rule_without_meeting_all(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_AT_ONCE", 4)
+    dice = random.Random(7)
+    rules = [(s, f"r{k}", dice.randrange(100), dice.randrange(1, 200)) for s in "ab" for k in range(25)] + [("a", "odd", 3, None)]
+    images = [(s, dice.randrange(-5, 220), dice.randrange(3)) for s in "abc" for _ in range(80)]
+    r, i = spark.createDataFrame(rules, "sheet string, rule_id string, rule_ord int, row_index int"), spark.createDataFrame(images, "sheet string, row0 int, image_ord int")
+    found = R.attach_images(r, i)
+    want = {}
+    for sheet, row0, image in images:
+        near = [(abs(row - 1 - row0), o, rule) for s, rule, o, row in rules if s == sheet and row is not None]
+        if near:
+            want[sheet, row0, image] = (min(near)[2], min(near)[0] == 0)
+    got = found.collect()
+    assert len(got) == len(want)
+    assert {(x["sheet"], x["row0"], x["image_ord"]): (x["rule_id"], x["exact_row"]) for x in got} == want
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all(" AND " in x for x in joins)  # nothing meets by its sheet alone
